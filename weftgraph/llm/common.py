@@ -57,6 +57,14 @@ def discard(*tables: DataFrame) -> None:
         release(tables[0].sparkSession)
 
 
+def discard_part(table: DataFrame, folder: str) -> None:
+    """Delete one partition folder of a materialise(by=...) table."""
+    spark = table.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table._weft_path}/{folder}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files that no live frame refers to."""
     gc.collect()
