@@ -44,9 +44,12 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1)
 
 
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, stop: int = 2) -> np.ndarray:
-    """Move probabilities to 0 or 1, three units at a time, keeping sum(pi) and sum(pi * size), until `stop` are fractional."""
+    """Move probabilities to 0 or 1, three units at a time, keeping sum(pi) and sum(pi * size), until `stop` are fractional.
+
+    Small units go first: the large ones that are left have many different sums, so landing comes near any total.
+    """
     p, s = pi.tolist(), size.tolist()
-    live = [i for i, x in enumerate(p) if 0 < x < 1]
+    live = sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: -s[i])
     draws = rng.random(len(live) + 1).tolist()
     hand, queue, left = live[-3:], live[:-3], len(live)
     while left > max(stop, 2):

@@ -4,7 +4,8 @@ A document is described by hashed words, hashed word shapes (runs of letters, ca
 marks; sublinear counts times inverse document frequencies are projected onto the leading right singular vectors of the
 labelled sample (latent semantic analysis, numpy). The labelled vectors and labels are broadcast: their number is bounded by
 `most_labelled` a class, a documented parameter. Every document's cosine products with all of them are computed exactly, in
-blocks; its nearest `neighbours` vote with their similarity to a power, each class weighed by its size in the sample.
+blocks; its nearest `neighbours` vote with their similarity to a power, and each class is weighed back to its share of all
+labelled rows (the sample takes as many of a rare class as of a common one).
 
 Defined cases: null, empty and word-less texts have only the mark "empty" and are scored like any other; rows with labels
 that aren't 0 or 1, or without a document, teach nothing; with no labelled rows every score is 0.5; ties among neighbours
@@ -83,7 +84,7 @@ def features(texts: pa.Array) -> np.ndarray:
 class Model:
     """What is broadcast: inverse document frequencies, the projection, the labelled vectors and their labels."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int, neighbours: int, power: float):
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, totals: tuple[int, int], rank: int, neighbours: int, power: float):
         self.neighbours, self.power, self.labels = neighbours, power, labels.astype(np.float32)
         if not len(labels):
             return
@@ -93,8 +94,8 @@ class Model:
         values, vectors = np.linalg.eigh(gram.astype(np.float64))
         self.basis = np.ascontiguousarray(vectors[:, ::-1][:, : min(rank, len(values))]).astype(np.float32)
         self.vectors = self._unit(x @ self.basis)
-        share = labels.mean()
-        self.votes = np.where(labels == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)).astype(np.float32)
+        each = [totals[q] / max(1, int((labels == q).sum())) for q in (0, 1)]
+        self.votes = np.where(labels == 1, each[1], each[0]).astype(np.float32)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -116,10 +117,11 @@ class Model:
         return np.clip(out, 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 2000, rank: int = 64, neighbours: int = 25, power: float = 4.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 2000, rank: int = 64, neighbours: int = 15, power: float = 16.0) -> Model:
     """Learn from (doc_id, text) and labels (doc_id, quality): at most `most_labelled` documents of each class, chosen by hash."""
     common.session(docs)
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").dropDuplicates(["doc_id"])
+    sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     picks = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled) for q in (0, 1)]
     chosen = picks[0].unionByName(picks[1])  # bounded: broadcast below
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 2000, rank: int
     rows = texts.mapInArrow(count, "doc_id long, quality int, counts binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])
     counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
-    return Model(counts, rows["quality"].to_numpy().astype(np.float64), rank, neighbours, power)
+    return Model(counts, rows["quality"].to_numpy().astype(np.float64), (sizes.get(0, 0), sizes.get(1, 0)), rank, neighbours, power)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
