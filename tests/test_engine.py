@@ -56,6 +56,16 @@ def test_swap(spark):
     assert diff == {("-", 3, 2), ("-", 4, 1), ("-", 31, 2), ("-", 32, 1)}
 
 
+def test_rounds_of_joins_equal_one_task(spark):
+    from weftgraph.sources import facts
+
+    stmt = facts.statements(spark, SF).where("src % 3 <> 0")
+    one, many = inclusion.solve(stmt), inclusion.solve(stmt, most_local=0)
+    for k in one:
+        assert {tuple(r) for r in one[k].collect()} == {tuple(r) for r in many[k].collect()}
+    assert got(inclusion.unify(stmt)) == got(inclusion.unify(stmt, most_local=0))
+
+
 def test_components_and_closure(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (7, 8)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 10)], "node long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import local
 from ..plans.fixpoint import Relations, components, fixpoint
 from ..plans.scratch import table
 
@@ -26,12 +27,20 @@ def derived_copies(pts: DataFrame, load: DataFrame, store: DataFrame) -> DataFra
     return loaded.unionByName(stored)
 
 
-def solve(stmt: DataFrame, pts: DataFrame | None = None, copy: DataFrame | None = None) -> Relations:
+def _solved(rows: DataFrame) -> Relations:
+    rows = table(rows)
+    return {"pts": rows.where("k = 'p'").select(F.col("a").alias("var"), F.col("b").alias("obj")), "copy": rows.where("k = 'c'").select(F.col("a").alias("src"), F.col("b").alias("dst"))}
+
+
+def solve(stmt: DataFrame, pts: DataFrame | None = None, copy: DataFrame | None = None, most_local: int = local.MOST_STATEMENTS) -> Relations:
     """pts (var, obj) and copy (src, dst) of the least solution of the address, copy, load and store rules.
 
-    pts and copy: facts already known, from which the solution goes on (they must follow from stmt).
+    pts and copy: facts already known, from which the solution goes on (they must follow from stmt). Without them, at most
+    `most_local` statements are solved in one task; more are solved by rounds of joins.
     """
-    stmt = table(stmt)
+    stmt = table(stmt.select("kind", "src", "dst").distinct())
+    if pts is None and copy is None and stmt.count() <= most_local:
+        return _solved(local.solve(stmt))
     load, store = _kind(stmt, "load"), _kind(stmt, "store")
     seed_pts = _kind(stmt, "addr").select(F.col("dst").alias("var"), F.col("src").alias("obj"))
     seed_copy = _kind(stmt, "copy")
@@ -77,9 +86,11 @@ def points_to_fields(stmt: DataFrame, limit: int = 8) -> DataFrame:
     return fixpoint({"pts": seed, "copy": copy}, step)["pts"]
 
 
-def unify(stmt: DataFrame) -> DataFrame:
+def unify(stmt: DataFrame, most_local: int = local.MOST_STATEMENTS) -> DataFrame:
     """(var, obj) by unification: copies join classes, loads and stores join classes with what they reach."""
-    stmt = table(stmt)
+    stmt = table(stmt.select("kind", "src", "dst").distinct())
+    if stmt.count() <= most_local:
+        return _solved(local.solve(stmt, both_ways=True))["pts"]
     load, store = _kind(stmt, "load"), _kind(stmt, "store")
     nodes = table(stmt.select(F.col("src").alias("node")).unionByName(stmt.select(F.col("dst").alias("node"))).distinct())
     base = _kind(stmt, "addr").select(F.col("dst").alias("node"), F.col("src").alias("obj"))
