@@ -96,3 +96,17 @@ def indirect_flow(stmt: DataFrame, pts: DataFrame) -> DataFrame:
     writes = stmt.where("kind = 'store'").join(pts, stmt["dst"] == pts["var"]).select(F.col("id").alias("store"), "obj")
     reads = stmt.where("kind = 'load'").join(pts, stmt["src"] == pts["var"]).select(F.col("id").alias("load"), "obj")
     return writes.join(reads, "obj").groupBy("store", "load").agg(F.count(F.lit(1)).alias("n_objs"))
+
+
+def region_of(local: DataFrame) -> DataFrame:
+    """(obj, region): objects that the same functions touch are one region, named by its least object."""
+    signed = table(local.groupBy("obj").agg(F.sort_array(F.collect_set("fun")).alias("funs")))
+    return signed.join(signed.groupBy("funs").agg(F.min("obj").alias("region")), "funs").select("obj", "region")
+
+
+def annotations(stmt: DataFrame, pts: DataFrame, region: DataFrame) -> DataFrame:
+    """(fun, annotation, region, n_sites): how many loads may read ('mu') and stores may write ('chi') each region."""
+    reads = stmt.where("kind = 'load'").select("fun", "src", "dst", F.col("src").alias("var"), F.lit("mu").alias("annotation"))
+    writes = stmt.where("kind = 'store'").select("fun", "src", "dst", F.col("dst").alias("var"), F.lit("chi").alias("annotation"))
+    sites = reads.unionByName(writes).join(pts, "var").join(region, "obj").select("fun", "annotation", "region", "src", "dst").distinct()
+    return sites.groupBy("fun", "annotation", "region").agg(F.count(F.lit(1)).alias("n_sites"))
