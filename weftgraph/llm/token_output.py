@@ -46,7 +46,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, row_
 
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))]
-    coded = docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, FILES)
+    # ranges by id alone: their bounds are then sampled without reading a text
+    coded = docs.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(encode, FILES)
     writer = coded.write.option("compression", "zstd").option("parquet.enable.dictionary", "true").option("parquet.block.size", str(row_group_bytes))
     writer.option("parquet.page.size", str(page_bytes)).option("parquet.page.row.count.limit", str(page_rows)).option("parquet.dictionary.page.size", str(2 << 20)).parquet(path)
     return path

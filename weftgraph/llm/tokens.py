@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of each cache of a Python worker. A full cache is emptied, so its memory is bounded and its answers don't change.
-CACHE_ENTRIES = 500_000
+#: Entries of each of the two generations of a Python worker's cache, which bounds its memory. Answers don't depend on it.
+CACHE_ENTRIES = 600_000
 
 # The byte-level split pattern of the public byte-level vocabularies, and that of the word-level one.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,33 +31,23 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-class _Pieces(dict):
-    """Split pieces to their ids, packed as little-endian 32-bit."""
+class _Kept(dict):
+    """A bounded cache of two generations: what is used again survives when the older half is dropped."""
 
-    def __init__(self, model):
-        self.model = model
+    __slots__ = ("make", "most", "old")
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        letters = piece.encode().decode("latin-1").translate(_LETTERS)
-        out = self[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        return out
-
-
-class _Chunks(dict):
-    """Chunks of UTF-8 (a word, or a word with one space before it) to their ids."""
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self.encoder.chunk(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+        self[key] = value
+        return value
 
 
 class Encoder:
@@ -72,7 +63,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         model, norm, pre = self.tokenizer.model, str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
-        self.pieces, self.chunks = _Pieces(model), _Chunks(self)
+        self.tokenize = model.tokenize
+        self.chunks = _Kept(self.chunk, CACHE_ENTRIES)
         self.kind = ""
         if self.tokenizer.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre:
             self.kind, self.split = "byte", regex.compile(BYTE_SPLIT).findall
@@ -88,16 +80,28 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of one piece of the split pattern."""
+        if not (piece.isascii() and piece.isprintable()) or piece[0] == " ":
+            piece = piece.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+
     def chunk(self, chunk: bytes) -> bytes:
+        """Ids of a word, or of a word with one space before it."""
         text = chunk.decode()
         if self.kind == "word":
-            # lower() and the library's lower-casing agree on Latin letters; others go to the library
-            if not chunk.isascii() and max(text) > "ſ":
-                return self.whole(text)
-            text = unicodedata.normalize("NFC", text).lower()
-            if max(text) > "ſ":
+            if text.isascii():
+                text = text.lower()
+            elif max(text) > "\u017f" or max(text := unicodedata.normalize("NFC", text).lower()) > "\u017f":
+                # lower() and the library's lower-casing agree on Latin letters; others go to the library
                 return self.whole(chunk.decode())
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        if text.isascii() or max(text) <= "\u017f":
+            bare = text[1:] if text[0] == " " else text
+            if bare.isalpha():
+                return self.piece(text)
+            if bare and bare[-1] in ",.;:!?" and bare[:-1].isalpha():
+                return self.chunks[chunk[:-1]] + self.chunks[chunk[-1:]]
+        return b"".join(map(self.piece, self.split(text)))
 
     def encode(self, text: bytes) -> bytes:
         """Ids of one text given as UTF-8, packed as little-endian unsigned 32-bit."""
