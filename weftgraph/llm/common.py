@@ -88,7 +88,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"")
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, most_rows: int = 4000) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20, most_rows: int = 4000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most so many bytes of the column, one row at least."""
     for b in it:
         off = np.frombuffer(utf8(b.column(column)).buffers()[1], np.int64)[: b.num_rows + 1] if b.num_rows else np.zeros(1, np.int64)

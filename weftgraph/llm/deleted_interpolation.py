@@ -210,7 +210,7 @@ def em(cells: pd.DataFrame, n: float, v: float, rounds: int = 60) -> tuple[float
     return min(max(low, 1e-6), 1 - 1e-6), np.clip(high, 0, 1 - 1e-6)
 
 
-def score(df: DataFrame, chunk_tokens: int = 1_500_000, docs_per_owner: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, chunk_tokens: int = 600_000, docs_per_owner: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     common.session(df)
     owners = max(8, math.ceil(df.count() / docs_per_owner))
