@@ -44,9 +44,9 @@ def shard(df: DataFrame, shards: int = 40, rounds: int = 6, block_rows: int = 20
     docs = common.materialise(rows, "rows")
     total = docs.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    fit = max(1, total // shards // 4)
+    most, fit = max(1, total // shards), max(1, total // shards // 4)
     groups = docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    unit = F.xxhash64("key", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / fit)))
+    unit = F.xxhash64("key", F.pmod(F.xxhash64("rid"), F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") / fit))))
     start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int")
     linked = common.materialise(docs.join(groups, "key").select("rid", unit.alias("unit"), start.alias("shard"), F.lit(False).alias("settled")), "linked")
 

@@ -106,6 +106,7 @@ def _draw(seed: int, level: int, stop: int, last: bool):
 def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 20_000, landing: int = 12, seed: int = 7, most_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken, copies (and the carried columns)."""
     common.session(df)
+    block = max(8, block)  # each level must leave fewer units than it had
     size = F.regexp_count(F.coalesce(df[text_col].cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     docs = common.materialise(df.select(df[id_col].cast("long").alias("doc_id"), df[source_col].cast("string").alias("source"), size.alias("size"), *[df[c].alias(f"carry_{c}") for c in carry]), "sizes")
     totals = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(most_sources + 1).collect()
