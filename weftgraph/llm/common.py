@@ -41,7 +41,7 @@ def materialise(df: DataFrame, name: str = "t", by: tuple[str, ...] = ()) -> Dat
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path) if not by else spark.read.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back._weft_path = path
     return back
 

@@ -112,7 +112,7 @@ class Model:
         for i in range(0, len(counts), block):
             near = self._unit(self._weigh(counts[i : i + block]) @ self.basis) @ self.vectors.T
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, top, 1), 1e-6) ** self.power * self.votes[top]
+            weight = np.maximum(np.take_along_axis(near, top, 1).astype(float), 1e-6) ** self.power * self.votes[top]
             out[i : i + block] = (weight * self.labels[top]).sum(1) / weight.sum(1)
         return np.clip(out, 0, 1)
 
