@@ -76,7 +76,7 @@ def read_points_to(spark: SparkSession, path: str) -> DataFrame:
     """(var, obj) of `var -> { o1 o2 }` lines."""
     form = r"^\s*(\d+)\s*->\s*\{\s*([\d\s]*?)\s*\}"
     parts = spark.read.text(path).select(F.regexp_extract("value", form, 1).alias("var"), F.regexp_extract("value", form, 2).alias("objs")).where("var <> '' and objs <> ''")
-    return parts.select(F.col("var").cast("long").alias("var"), F.explode(F.split("objs", r"\s+")).cast("long").alias("obj"))
+    return parts.select(F.col("var").cast("long").alias("var"), F.explode(F.split("objs", r"\s+").cast("array<long>")).alias("obj"))
 
 
 def write_dot(edges: DataFrame, path: str, label: str | None = None) -> None:
