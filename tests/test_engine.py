@@ -50,7 +50,7 @@ def test_swap(spark):
     old = spark.createDataFrame(COMMON + OLD, STMT)
     solved = inclusion.solve(old)
     assert got(solved["pts"]) == WANT_OLD
-    new, after = incremental.apply(old, solved["pts"], solved["copy"], spark.createDataFrame(OLD, STMT), spark.createDataFrame(NEW, STMT))
+    new, after = incremental.apply(old, solved["pts"], solved["copy"], spark.createDataFrame(OLD, STMT), spark.createDataFrame(NEW, STMT), most_local=0)
     assert got(after["pts"]) == WANT_NEW == got(inclusion.points_to(new))
     diff = {tuple(r) for r in incremental.changes(solved["pts"].select("var", "obj"), after["pts"].select("var", "obj")).collect()}
     assert diff == {("-", 3, 2), ("-", 4, 1), ("-", 31, 2), ("-", 32, 1)}
@@ -66,6 +66,13 @@ def test_rounds_of_joins_equal_one_task(spark):
     assert got(inclusion.unify(stmt)) == got(inclusion.unify(stmt, most_local=0))
 
 
+def test_maintenance_equals_recomputation(spark):
+    old, deleted, inserted = registry._versions(spark, SF)
+    solved = inclusion.solve(old)
+    new, after = incremental.apply(old, solved["pts"], solved["copy"], deleted, inserted, most_local=0)
+    assert got(after["pts"]) == got(inclusion.points_to(new))
+
+
 def test_components_and_closure(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (7, 8)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 10)], "node long")

@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import local
 from ..plans.fixpoint import Relations, fixpoint
 from ..plans.scratch import table
 from .inclusion import derived_copies, flow, solve
 
 
-def apply(stmt: DataFrame, pts: DataFrame, copy: DataFrame, deleted: DataFrame, inserted: DataFrame) -> tuple[DataFrame, Relations]:
+def apply(stmt: DataFrame, pts: DataFrame, copy: DataFrame, deleted: DataFrame, inserted: DataFrame, most_local: int = local.MOST_STATEMENTS) -> tuple[DataFrame, Relations]:
     """The new statements and their solution, from the old ones and their solution (pts, copy).
 
     Delete and rederive: first everything that some derivation from a deleted fact leads to is taken away (over-deletion),
-    then the rules run on from what is left together with the inserted facts. The result equals solving the new statements.
+    then the rules run on from what is left together with the inserted facts. The result equals solving the new statements,
+    which is what is done for programs of at most `most_local` statements: one task is quicker than maintenance there.
     """
     names = ["kind", "src", "dst"]
     stmt = table(stmt.select(*names))
     gone = table(deleted.select(*names).distinct().join(stmt, names, "left_semi"))
+    now = table(stmt.join(gone, names, "left_anti").unionByName(inserted.select(*names)).distinct())
+    if now.count() <= most_local:
+        return now, solve(now, most_local=most_local)
     pts, copy = table(pts), table(copy)
     kinds = {k: gone.where(F.col("kind") == k).select("src", "dst") for k in ("addr", "copy", "load", "store")}
     load, store = (stmt.where(F.col("kind") == k).select("src", "dst") for k in ("load", "store"))
@@ -33,7 +38,6 @@ def apply(stmt: DataFrame, pts: DataFrame, copy: DataFrame, deleted: DataFrame,
     doubt = fixpoint({"pts": seed_pts, "copy": seed_copy}, step)
     kept_pts = table(pts.join(doubt["pts"], ["var", "obj"], "left_anti"))
     kept_copy = table(copy.join(doubt["copy"], ["src", "dst"], "left_anti"))
-    now = table(stmt.join(gone, names, "left_anti").unionByName(inserted.select(*names)).distinct())
     # one round over the survivors rederives what they still support; the fixpoint goes on from there
     seen = flow(kept_pts, kept_copy.unionByName(now.where("kind = 'copy'").select("src", "dst")))
     again = derived_copies(kept_pts, *(now.where(F.col("kind") == k).select("src", "dst") for k in ("load", "store")))
