@@ -10,21 +10,22 @@ from ..plans.scratch import table
 
 
 def dominators(flow: DataFrame, root: DataFrame) -> DataFrame:
-    """(dom, node): dom is on every path from the root (node) to node, itself included.
+    """(dom, node): dom is on every path from the procedure's root (node) to node, itself included.
 
-    Found by its complement, which is monotone: (d, n) such that n is reachable without passing d.
+    Found by its complement, which is monotone: (d, n) such that n is reachable without passing d. Each root is a procedure;
+    procedures share no nodes, so nodes are paired within their procedure only.
     """
     flow = table(flow.select("src", "dst").distinct())
-    live = table(closure(flow, root.select(F.col("node").alias("src"))).select(F.col("dst").alias("node")).unionByName(root.select("node")).distinct())
-    seed = live.select(F.col("node").alias("d")).join(root.select("node"), F.col("d") != F.col("node"))
+    roots = root.select(F.col("node").alias("root"), "node")
+    live = table(closure(flow, root.select(F.col("node").alias("src"))).select(F.col("src").alias("root"), F.col("dst").alias("node")).unionByName(roots).distinct())
+    seed = live.where("node <> root").select(F.col("node").alias("d"), F.col("root").alias("node"))
 
     def step(full: Relations, delta: Relations) -> Relations:
         d = delta["avoid"]
         return {"avoid": d.join(flow, d["node"] == flow["src"]).where("dst <> d").select("d", F.col("dst").alias("node"))}
 
     avoid = fixpoint({"avoid": seed}, step)["avoid"]
-    # a node dominates among as many nodes as can't avoid it; the counterparts are the reachable nodes of the same function
-    every = live.select(F.col("node").alias("dom"), F.lit(1).alias("k")).join(live.select("node", F.lit(1).alias("k")), "k")
+    every = live.select("root", F.col("node").alias("dom")).join(live, "root")
     return every.join(avoid.withColumnRenamed("d", "dom"), ["dom", "node"], "left_anti").select("dom", "node")
 
 

@@ -27,6 +27,24 @@ def derived_copies(pts: DataFrame, load: DataFrame, store: DataFrame) -> DataFra
     return loaded.unionByName(stored)
 
 
+def units(stmt: DataFrame) -> DataFrame:
+    """(node, rep): the weak component of each variable and object. Every derived fact stays in its component: an object is tied
+    by its address statement to a variable, a pointer by its load or store to the other end, so components are solved apart."""
+    nodes = stmt.select(F.col("src").alias("node")).unionByName(stmt.select(F.col("dst").alias("node")))
+    return table(components(nodes, stmt.select("src", "dst")))
+
+
+def split(stmt: DataFrame, most_local: int) -> tuple[DataFrame, DataFrame | None]:
+    """Statements of units that a task can solve (with the column unit), and those of larger units, None if there are none."""
+    if stmt.count() <= most_local:
+        return stmt.withColumn("unit", F.lit(0).cast("long")), None
+    placed = table(stmt.join(units(stmt).select(F.col("node").alias("src"), F.col("rep").alias("unit")), "src"))
+    large = table(placed.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_local).select("unit"))
+    if large.isEmpty():
+        return placed, None
+    return placed.join(large, "unit", "left_anti"), placed.join(large, "unit", "left_semi").select("kind", "src", "dst")
+
+
 def _solved(rows: DataFrame) -> Relations:
     rows = table(rows)
     return {"pts": rows.where("k = 'p'").select(F.col("a").alias("var"), F.col("b").alias("obj")), "copy": rows.where("k = 'c'").select(F.col("a").alias("src"), F.col("b").alias("dst"))}
@@ -35,12 +53,17 @@ def _solved(rows: DataFrame) -> Relations:
 def solve(stmt: DataFrame, pts: DataFrame | None = None, copy: DataFrame | None = None, most_local: int = local.MOST_STATEMENTS) -> Relations:
     """pts (var, obj) and copy (src, dst) of the least solution of the address, copy, load and store rules.
 
-    pts and copy: facts already known, from which the solution goes on (they must follow from stmt). Without them, at most
-    `most_local` statements are solved in one task; more are solved by rounds of joins.
+    pts and copy: facts already known, from which the solution goes on by rounds of joins (they must follow from stmt). Without
+    them, weak components of at most `most_local` statements are solved in a task each; larger ones by rounds.
     """
     stmt = table(stmt.select("kind", "src", "dst").distinct())
-    if pts is None and copy is None and stmt.count() <= most_local:
-        return _solved(local.solve(stmt))
+    if most_local and pts is None and copy is None:
+        small, large = split(stmt, most_local)
+        found = _solved(local.solve(small))
+        if large is None:
+            return found
+        rest = solve(large, most_local=0)
+        return {k: found[k].unionByName(rest[k]) for k in found}
     load, store = _kind(stmt, "load"), _kind(stmt, "store")
     seed_pts = _kind(stmt, "addr").select(F.col("dst").alias("var"), F.col("src").alias("obj"))
     seed_copy = _kind(stmt, "copy")
@@ -89,8 +112,10 @@ def points_to_fields(stmt: DataFrame, limit: int = 8) -> DataFrame:
 def unify(stmt: DataFrame, most_local: int = local.MOST_STATEMENTS) -> DataFrame:
     """(var, obj) by unification: copies join classes, loads and stores join classes with what they reach."""
     stmt = table(stmt.select("kind", "src", "dst").distinct())
-    if stmt.count() <= most_local:
-        return _solved(local.solve(stmt, both_ways=True))["pts"]
+    if most_local:
+        small, large = split(stmt, most_local)
+        found = _solved(local.solve(small, both_ways=True))["pts"]
+        return found if large is None else found.unionByName(unify(large, most_local=0))
     load, store = _kind(stmt, "load"), _kind(stmt, "store")
     nodes = table(stmt.select(F.col("src").alias("node")).unionByName(stmt.select(F.col("dst").alias("node"))).distinct())
     base = _kind(stmt, "addr").select(F.col("dst").alias("node"), F.col("src").alias("obj"))

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..plans import local
 from ..plans.fixpoint import Relations, fixpoint
 from ..plans.scratch import table
-from .inclusion import derived_copies, flow, solve
+from .inclusion import derived_copies, flow, solve, units
 
 
 def apply(stmt: DataFrame, pts: DataFrame, copy: DataFrame, deleted: DataFrame, inserted: DataFrame, most_local: int = local.MOST_STATEMENTS) -> tuple[DataFrame, Relations]:
     """The new statements and their solution, from the old ones and their solution (pts, copy).
 
     Delete and rederive: first everything that some derivation from a deleted fact leads to is taken away (over-deletion),
-    then the rules run on from what is left together with the inserted facts. The result equals solving the new statements,
-    which is what is done for programs of at most `most_local` statements: one task is quicker than maintenance there.
+    then the rules run on from what is left together with the inserted facts. The result equals solving the new statements.
+    Only weak components (of old and new statements) that a change touches are looked at; those of at most `most_local`
+    statements are solved anew, as one task is quicker than maintenance there.
     """
     names = ["kind", "src", "dst"]
     stmt = table(stmt.select(*names))
@@ -24,7 +25,32 @@ def apply(stmt: DataFrame, pts: DataFrame, copy: DataFrame, deleted: DataFrame,
     now = table(stmt.join(gone, names, "left_anti").unionByName(inserted.select(*names)).distinct())
     if now.count() <= most_local:
         return now, solve(now, most_local=most_local)
-    pts, copy = table(pts), table(copy)
+    every = stmt.unionByName(now).distinct()
+    unit = units(every)
+    changed = gone.unionByName(inserted.select(*names)).select(F.col("src").alias("node")).distinct()
+    touched = unit.join(changed, "node", "left_semi").select("rep").distinct()
+    sizes = every.join(unit.select(F.col("node").alias("src"), "rep"), "src").groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    touched = table(sizes.join(touched, "rep", "left_semi").select("rep", (F.col("n") <= most_local).alias("small")))
+    where = table(unit.join(touched, "rep").select("node", "small"))
+
+    def part(df: DataFrame, key: str, small: bool | None) -> DataFrame:
+        """Rows of touched units that are small, or not, or (None) of the units that no change touches."""
+        those = where.select(F.col("node").alias(key), "small")
+        return df.join(those, key, "left_anti") if small is None else df.join(those.where(F.col("small") == small), key, "left_semi")
+
+    same = {"pts": part(pts.select("var", "obj"), "var", None), "copy": part(copy.select("src", "dst"), "src", None)}
+    anew = solve(part(now, "src", True), most_local=most_local) if most_local else None
+    rest = part(now, "src", False)
+    if not most_local or not touched.where("not small").isEmpty():
+        old = part(stmt, "src", False), part(pts, "var", False), part(copy, "src", False), part(gone, "src", False)
+        kept = _maintained(rest, *old)
+        same = {k: same[k].unionByName(kept[k]) for k in same}
+    return now, {k: table(same[k].unionByName(anew[k]) if anew else same[k]) for k in same}
+
+
+def _maintained(now: DataFrame, stmt: DataFrame, pts: DataFrame, copy: DataFrame, gone: DataFrame) -> Relations:
+    """The solution of the statements now, from that of stmt, of which gone are deleted."""
+    now, stmt, pts, copy, gone = (table(df) for df in (now, stmt, pts, copy, gone))
     kinds = {k: gone.where(F.col("kind") == k).select("src", "dst") for k in ("addr", "copy", "load", "store")}
     load, store = (stmt.where(F.col("kind") == k).select("src", "dst") for k in ("load", "store"))
     seed_pts = kinds["addr"].select(F.col("dst").alias("var"), F.col("src").alias("obj"))
@@ -41,7 +67,7 @@ def apply(stmt: DataFrame, pts: DataFrame, copy: DataFrame, deleted: DataFrame,
     # one round over the survivors rederives what they still support; the fixpoint goes on from there
     seen = flow(kept_pts, kept_copy.unionByName(now.where("kind = 'copy'").select("src", "dst")))
     again = derived_copies(kept_pts, *(now.where(F.col("kind") == k).select("src", "dst") for k in ("load", "store")))
-    return now, solve(now, kept_pts.unionByName(seen).distinct(), kept_copy.unionByName(again).distinct())
+    return solve(now, kept_pts.unionByName(seen).distinct(), kept_copy.unionByName(again).distinct())
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Small programs in one task: a bounded number of statements is solved in memory, on sets as integers' bits."""
+"""Units of bounded size in one task each: their statements are solved in memory, on sets as integers' bits."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Statements up to which one task solves them: the result then has at most this many variables times objects, as bits.
+#: Statements of a unit up to which one task solves it: the result then has at most this many variables times objects, as bits.
 MOST_STATEMENTS = 5_000
 
 
@@ -67,4 +67,5 @@ def solved_rows(stmt: pd.DataFrame, both_ways: bool) -> pd.DataFrame:
 
 
 def solve(stmt: DataFrame, both_ways: bool = False) -> DataFrame:
-    return stmt.select("kind", "src", "dst", F.lit(0).alias("one")).groupBy("one").applyInPandas(lambda p: solved_rows(p, both_ways), "k string, a long, b long")
+    """Rows (k, a, b) of statements with a column unit; each unit is solved alone and holds at most MOST_STATEMENTS."""
+    return stmt.select("kind", "src", "dst", "unit").groupBy("unit").applyInPandas(lambda p: solved_rows(p, both_ways), "k string, a long, b long")

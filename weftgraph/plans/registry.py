@@ -73,7 +73,7 @@ def unification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GEP = """
-geps AS (SELECT CASE WHEN kind = 'copy' AND (src + dst) % 3 = 0 THEN 'gep' ELSE kind END AS kind, src, dst, CASE WHEN kind = 'copy' AND (src + dst) % 3 = 0 THEN 1 + dst % 4 ELSE 0 END AS off FROM stmt WHERE (src + dst) % 2 = 0)"""
+geps AS (SELECT CASE WHEN kind = 'copy' AND (src + dst) % 3 = 0 THEN 'gep' ELSE kind END AS kind, src, dst, CASE WHEN kind = 'copy' AND (src + dst) % 3 = 0 THEN 1 + dst % 4 ELSE 0 END AS off FROM stmt)"""
 
 
 @query(f"""{WITH}, {GEP}, r(k, a, af, b, bf) USING KEY (k, a, af, b, bf) AS (
@@ -86,15 +86,15 @@ geps AS (SELECT CASE WHEN kind = 'copy' AND (src + dst) % 3 = 0 THEN 'gep' ELSE
    UNION SELECT 'c', s.src, 0, p.b, p.bf FROM r p JOIN geps s ON p.k = 'p' AND p.af = 0 AND s.kind = 'store' AND s.dst = p.a))
 SELECT a AS var, af AS vfld, b AS obj, bf AS fld FROM r WHERE k = 'p'""")
 def points_to_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stmt = facts.statements(spark, sf_dir).where("(src + dst) % 2 = 0")
+    stmt = facts.statements(spark, sf_dir)
     gep = F.expr("kind = 'copy' and (src + dst) % 3 = 0")
     return inclusion.points_to_fields(stmt.select(F.when(gep, "gep").otherwise(F.col("kind")).alias("kind"), "src", "dst", F.when(gep, 1 + F.col("dst") % 4).otherwise(0).alias("off")), limit=8)
 
 
-@query(f"{PTS} SELECT var, obj FROM pts WHERE var % 10 = 3 AND var < {facts.OBJECTS} AND var IN (SELECT dst FROM stmt WHERE kind = 'load')")
+@query(f"{PTS} SELECT var, obj FROM pts WHERE var IN (SELECT dst FROM stmt WHERE kind = 'store')")
 def demand_points_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     stmt = facts.statements(spark, sf_dir)
-    wanted = stmt.where("kind = 'load' and dst % 10 = 3").select(F.col("dst").alias("var")).distinct()
+    wanted = stmt.where("kind = 'store'").select(F.col("dst").alias("var")).distinct()
     return inclusion.demand(stmt, wanted)
 
 
@@ -117,11 +117,11 @@ def alias_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{PTS} SELECT DISTINCT s.src AS a, t.dst AS b, CASE WHEN EXISTS (SELECT 1 FROM pts p JOIN pts q ON p.obj = q.obj WHERE p.var = s.src AND q.var = t.dst) THEN 'MayAlias' ELSE 'NoAlias' END AS result
-FROM stmt s JOIN stmt t ON s.kind = 'load' AND t.kind = 'store' AND s.src % 50 = t.dst % 50""")
+FROM stmt s JOIN stmt t ON s.kind = 'load' AND t.kind = 'store' AND s.src // {facts.VARS} = t.dst // {facts.VARS}""")
 def alias_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stmt = table(facts.statements(spark, sf_dir))
-    loads = stmt.where("kind = 'load'").select(F.col("src").alias("a"), (F.col("src") % 50).alias("k"))
-    stores = stmt.where("kind = 'store'").select(F.col("dst").alias("b"), (F.col("dst") % 50).alias("k"))
+    loads = stmt.where("kind = 'load'").select(F.col("src").alias("a"), facts.module("src").alias("k"))
+    stores = stmt.where("kind = 'store'").select(F.col("dst").alias("b"), facts.module("dst").alias("k"))
     return sets.alias_query(inclusion.points_to(stmt), loads.join(stores, "k"))
 
 
@@ -154,11 +154,11 @@ def mod_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.mod_ref(_effects(spark, sf_dir), facts.calls(spark, sf_dir))
 
 
-REGION_SETS = "member AS (SELECT DISTINCT l_partkey % 20 AS fun, l_orderkey AS set_id, l_suppkey AS obj FROM lineitem WHERE l_orderkey % 8 = 0)"
+REGION_SETS = "member AS (SELECT DISTINCT l_partkey % 20 AS fun, l_orderkey AS set_id, l_suppkey AS obj FROM lineitem)"
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 8 = 0")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return lines.select((F.col("l_partkey") % 20).alias("fun"), F.col("l_orderkey").alias("set_id"), F.col("l_suppkey").alias("obj")).distinct()
 
 
@@ -177,12 +177,12 @@ def regions_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _members(spark, sf_dir).select("fun", F.col("obj").alias("region")).distinct()
 
 
-NUMBERED = "numbered AS (SELECT *, CASE kind WHEN 'addr' THEN 0 WHEN 'copy' THEN 1 WHEN 'load' THEN 2 ELSE 3 END + 4 * (src * 2000003 + dst) AS id FROM stmt)"
+NUMBERED = "numbered AS (SELECT *, CASE kind WHEN 'addr' THEN 0 WHEN 'copy' THEN 1 WHEN 'load' THEN 2 ELSE 3 END + 4 * (src * 700000001 + dst) AS id FROM stmt)"
 
 
 def _numbered(stmt: DataFrame) -> DataFrame:
     kind = F.when(F.col("kind") == "addr", 0).when(F.col("kind") == "copy", 1).when(F.col("kind") == "load", 2).otherwise(3)
-    return stmt.withColumn("id", kind + 4 * (F.col("src") * 2000003 + F.col("dst")))
+    return stmt.withColumn("id", kind + 4 * (F.col("src") * 700000001 + F.col("dst")))
 
 
 @query(f"""{WITH}, {NUMBERED} SELECT DISTINCT d.id AS def, u.id AS use FROM numbered d JOIN (SELECT id, src AS v FROM numbered WHERE kind <> 'addr' UNION ALL SELECT id, dst FROM numbered WHERE kind = 'store') u ON d.kind <> 'store' AND d.dst = u.v""")
@@ -226,14 +226,14 @@ def degree_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CFL_EDGES = """
-edge AS (SELECT DISTINCT l_partkey % 500 AS src, (l_suppkey * 7 + l_linenumber * 13) % 500 AS dst, CASE WHEN m < 2 THEN 'a' WHEN m < 4 THEN 'call_i' ELSE 'ret_i' END AS sym, CASE WHEN m < 2 THEN -1 ELSE l_linenumber END AS attr
-  FROM (SELECT *, (l_partkey + l_suppkey + l_linenumber) % 6 AS m FROM lineitem WHERE l_orderkey % 150 = 0))"""
+edge AS (SELECT DISTINCT l_orderkey // 16 * 32 + l_partkey % 32 AS src, l_orderkey // 16 * 32 + (l_suppkey * 7 + l_linenumber * 13) % 32 AS dst, CASE WHEN m < 2 THEN 'a' WHEN m < 4 THEN 'call_i' ELSE 'ret_i' END AS sym, CASE WHEN m < 2 THEN -1 ELSE l_linenumber END AS attr
+  FROM (SELECT *, (l_partkey + l_suppkey + l_linenumber) % 6 AS m FROM lineitem))"""
 
 
 def _cfl_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 150 = 0").withColumn("m", F.expr("(l_partkey + l_suppkey + l_linenumber) % 6"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("m", F.expr("(l_partkey + l_suppkey + l_linenumber) % 6"))
     sym = F.when(F.col("m") < 2, "a").when(F.col("m") < 4, "call_i").otherwise("ret_i")
-    return lines.select((F.col("l_partkey") % 500).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber") * 13) % 500).alias("dst"), sym.alias("sym"), F.when(F.col("m") < 2, -1).otherwise(F.col("l_linenumber")).alias("attr")).distinct()
+    return lines.select(F.expr("l_orderkey div 16 * 32 + l_partkey % 32").alias("src"), F.expr("l_orderkey div 16 * 32 + (l_suppkey * 7 + l_linenumber * 13) % 32").alias("dst"), sym.alias("sym"), F.when(F.col("m") < 2, -1).otherwise(F.col("l_linenumber")).alias("attr")).distinct()
 
 
 @query(f"""WITH RECURSIVE {CFL_EDGES}, r(s, a, b, t) USING KEY (s, a, b, t) AS (
@@ -250,29 +250,34 @@ def cfl_value_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOM = """
-flow AS (SELECT DISTINCT l_orderkey % 60 AS src, (l_orderkey % 60 + 1 + (l_partkey % 5)) % 60 AS dst FROM lineitem WHERE l_orderkey % 40 = 7 AND l_linenumber < 3)"""
+flow AS (SELECT DISTINCT l_orderkey AS src, l_orderkey // 16 * 16 + (l_orderkey % 16 + 1 + l_partkey % 3) % 16 AS dst FROM lineitem)"""
 
 
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 40 = 7 and l_linenumber < 3")
-    return lines.select((F.col("l_orderkey") % 60).alias("src"), ((F.col("l_orderkey") % 60 + 1 + F.col("l_partkey") % 5) % 60).alias("dst")).distinct()
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select(F.col("l_orderkey").alias("src"), F.expr("l_orderkey div 16 * 16 + (l_orderkey % 16 + 1 + l_partkey % 3) % 16").alias("dst")).distinct()
 
 
-@query(f"""WITH RECURSIVE {DOM}, root AS (SELECT min(src) AS root FROM flow), live(node) AS (SELECT root FROM root UNION SELECT dst FROM live JOIN flow ON src = node),
-avoid(d, node) AS (SELECT l.node, r.root FROM live l, root r WHERE l.node <> r.root UNION SELECT d, dst FROM avoid JOIN flow ON src = avoid.node WHERE dst <> d)
-SELECT d.node AS dom, l.node AS node FROM live d JOIN live l ON NOT EXISTS (SELECT 1 FROM avoid a WHERE a.d = d.node AND a.node = l.node)""")
+def _roots(flow: DataFrame) -> DataFrame:
+    """The least node of each procedure: 16 nodes are one."""
+    return flow.groupBy(F.expr("src div 16")).agg(F.min("src").alias("node")).select("node")
+
+
+@query(f"""WITH RECURSIVE {DOM}, root AS (SELECT min(src) AS root FROM flow GROUP BY src // 16), live(node) AS (SELECT root FROM root UNION SELECT dst FROM live JOIN flow ON src = node),
+avoid(d, node) AS (SELECT l.node, r.root FROM live l JOIN root r ON l.node // 16 = r.root // 16 WHERE l.node <> r.root UNION SELECT d, dst FROM avoid JOIN flow ON src = avoid.node WHERE dst <> d)
+SELECT d.node AS dom, l.node AS node FROM live d JOIN live l ON d.node // 16 = l.node // 16 WHERE NOT EXISTS (SELECT 1 FROM avoid a WHERE a.d = d.node AND a.node = l.node)""")
 def dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = table(_flow(spark, sf_dir))
-    return dominance.dominators(flow, flow.agg(F.min("src").alias("node")))
+    return dominance.dominators(flow, _roots(flow))
 
 
-@query(f"""WITH RECURSIVE {DOM}, root AS (SELECT min(src) AS root FROM flow), live(node) AS (SELECT root FROM root UNION SELECT dst FROM live JOIN flow ON src = node),
-avoid(d, node) AS (SELECT l.node, r.root FROM live l, root r WHERE l.node <> r.root UNION SELECT d, dst FROM avoid JOIN flow ON src = avoid.node WHERE dst <> d),
-dom AS (SELECT d.node AS dom, l.node AS node FROM live d JOIN live l ON NOT EXISTS (SELECT 1 FROM avoid a WHERE a.d = d.node AND a.node = l.node))
+@query(f"""WITH RECURSIVE {DOM}, root AS (SELECT min(src) AS root FROM flow GROUP BY src // 16), live(node) AS (SELECT root FROM root UNION SELECT dst FROM live JOIN flow ON src = node),
+avoid(d, node) AS (SELECT l.node, r.root FROM live l JOIN root r ON l.node // 16 = r.root // 16 WHERE l.node <> r.root UNION SELECT d, dst FROM avoid JOIN flow ON src = avoid.node WHERE dst <> d),
+dom AS (SELECT d.node AS dom, l.node AS node FROM live d JOIN live l ON d.node // 16 = l.node // 16 WHERE NOT EXISTS (SELECT 1 FROM avoid a WHERE a.d = d.node AND a.node = l.node))
 SELECT DISTINCT m.dom AS node, f.dst AS frontier FROM flow f JOIN dom m ON m.node = f.src WHERE NOT EXISTS (SELECT 1 FROM dom x WHERE x.dom = m.dom AND x.node = f.dst AND m.dom <> f.dst)""")
 def dominance_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = table(_flow(spark, sf_dir))
-    return dominance.frontier(flow, table(dominance.dominators(flow, flow.agg(F.min("src").alias("node")))))
+    return dominance.frontier(flow, table(dominance.dominators(flow, _roots(flow))))
 
 
 # ---- incremental -------------------------------------------------------------------------------------------------
@@ -302,24 +307,24 @@ def points_to_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.changes(solved["pts"], new)
 
 
-@query("""SELECT event_id, user_id % 40 AS path, event_id % 5000 AS line FROM events e
-WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey % 30 = 0 AND o.o_custkey % 40 = e.user_id % 40 AND e.event_id % 5000 BETWEEN o.o_orderkey % 5000 AND o.o_orderkey % 5000 + o.o_custkey % 90)""")
+@query("""SELECT event_id, user_id AS path, event_id AS line FROM events e
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = e.user_id AND e.event_id BETWEEN o.o_orderkey AND o.o_orderkey + o.o_custkey % 90)""")
 def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 40).alias("path"), (F.col("event_id") % 5000).alias("line"))
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 30 = 0")
-    start = F.col("o_orderkey") % 5000
-    return incremental.changed_lines(lines, o.select((F.col("o_custkey") % 40).alias("path"), start.alias("row_start"), (start + F.col("o_custkey") % 90).alias("row_end")))
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("path"), F.col("event_id").alias("line"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    start = F.col("o_orderkey")
+    return incremental.changed_lines(lines, o.select(F.col("o_custkey").alias("path"), start.alias("row_start"), (start + F.col("o_custkey") % 90).alias("row_end")))
 
 
 # ---- slices, threads ---------------------------------------------------------------------------------------------
 
-SLICE = f"""{WITH}, flow AS (SELECT src, dst FROM stmt WHERE kind IN ('copy', 'load')), source AS (SELECT DISTINCT dst AS node FROM stmt WHERE kind = 'addr' AND dst % 4 = 1), sink AS (SELECT DISTINCT src AS node FROM stmt WHERE kind = 'store'),
+SLICE = f"""{WITH}, flow AS (SELECT src, dst FROM stmt WHERE kind IN ('copy', 'load')), source AS (SELECT DISTINCT dst AS node FROM stmt WHERE kind = 'addr'), sink AS (SELECT DISTINCT src AS node FROM stmt WHERE kind = 'store'),
 fwd(source, node) AS (SELECT node, node FROM source UNION SELECT source, dst FROM fwd JOIN flow ON node = src)"""
 
 
 def _slice_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     stmt = table(facts.statements(spark, sf_dir))
-    return stmt.where("kind in ('copy', 'load')").select("src", "dst"), stmt.where("kind = 'addr' and dst % 4 = 1").select(F.col("dst").alias("node")).distinct(), stmt.where("kind = 'store'").select(F.col("src").alias("node")).distinct()
+    return stmt.where("kind in ('copy', 'load')").select("src", "dst"), stmt.where("kind = 'addr'").select(F.col("dst").alias("node")).distinct(), stmt.where("kind = 'store'").select(F.col("src").alias("node")).distinct()
 
 
 @query(f"{SLICE} SELECT source, f.node AS sink FROM fwd f JOIN sink s ON f.node = s.node")
@@ -343,9 +348,9 @@ def leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FORKS = """
-fork AS (SELECT DISTINCT o_custkey % 40 AS parent, 40 + o_orderkey % 60 AS child, o_orderkey % 100 AS at FROM orders WHERE o_orderkey % 100 < 3),
-joined AS (SELECT DISTINCT o_custkey % 40 AS parent, 40 + o_orderkey % 60 AS child, 50 + o_orderkey % 50 AS at FROM orders WHERE o_orderkey % 200 < 3),
-access AS (SELECT DISTINCT e.user_id % 100 AS thread, e.event_id % 97 AS pos, e.event_id % 23 AS obj, e.event_type = 'purchase' AS writes, e.event_id % 7 AS lock FROM events e WHERE e.event_id % 10 = 0)"""
+fork AS (SELECT DISTINCT o_custkey AS parent, o_custkey + 1 + o_orderkey % 3 AS child, o_orderkey % 100 AS at FROM orders),
+joined AS (SELECT DISTINCT o_custkey AS parent, o_custkey + 1 + o_orderkey % 3 AS child, 50 + o_orderkey % 50 AS at FROM orders),
+access AS (SELECT DISTINCT e.user_id AS thread, e.event_id % 97 AS pos, e.event_id % 23 AS obj, e.event_type = 'purchase' AS writes, e.event_id % 7 AS lock FROM events e)"""
 
 
 @query(f"""WITH {FORKS}, alive AS (SELECT f.parent, f.child, min(f.at) AS since, coalesce(min(j.at), 1000000) AS until FROM fork f LEFT JOIN joined j ON j.parent = f.parent AND j.child = f.child AND j.at > f.at GROUP BY f.parent, f.child)
@@ -353,11 +358,11 @@ SELECT DISTINCT a.thread AS thread_a, a.pos AS pos_a, b.thread AS thread_b, b.po
 WHERE (a.writes OR b.writes) AND a.lock <> b.lock""")
 def race_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    child = (40 + F.col("o_orderkey") % 60).alias("child")
-    fork = o.where("o_orderkey % 100 < 3").select((F.col("o_custkey") % 40).alias("parent"), child, (F.col("o_orderkey") % 100).alias("at")).distinct()
-    joined = o.where("o_orderkey % 200 < 3").select((F.col("o_custkey") % 40).alias("parent"), child, (50 + F.col("o_orderkey") % 50).alias("at")).distinct()
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 10 = 0")
-    access = e.select((F.col("user_id") % 100).alias("thread"), (F.col("event_id") % 97).alias("pos"), (F.col("event_id") % 23).alias("obj"), (F.col("event_type") == "purchase").alias("writes"), (F.col("event_id") % 7).alias("lock")).distinct()
+    child = (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("child")
+    fork = o.select(F.col("o_custkey").alias("parent"), child, (F.col("o_orderkey") % 100).alias("at")).distinct()
+    joined = o.select(F.col("o_custkey").alias("parent"), child, (50 + F.col("o_orderkey") % 50).alias("at")).distinct()
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    access = e.select(F.col("user_id").alias("thread"), (F.col("event_id") % 97).alias("pos"), (F.col("event_id") % 23).alias("obj"), (F.col("event_type") == "purchase").alias("writes"), (F.col("event_id") % 7).alias("lock")).distinct()
     return concurrency.races(access, concurrency.alive(fork, joined))
 
 

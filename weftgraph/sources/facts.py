@@ -1,46 +1,58 @@
-"""Program facts derived from the driver's tables, the same way in Spark and in SQL."""
+"""Program facts derived from the driver's tables, whole, the same way in Spark and in SQL.
+
+Each lineitem is a statement. 16 orders are a module with its own variables and objects; some copies lead into the next module,
+so programs grow with the table as real ones do, by modules with few links between them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Objects' ids start here; variables are below.
-OBJECTS = 1_000_000
+OBJECTS = 1_000_000_000
+#: Variables of a module.
+VARS = 32
 
 STMT_SQL = f"""
 stmt AS (
   SELECT DISTINCT
     CASE WHEN m < 3 THEN 'addr' WHEN m < 7 THEN 'copy' WHEN m < 9 THEN 'load' ELSE 'store' END AS kind,
-    CASE WHEN m < 3 THEN {OBJECTS} + l_suppkey ELSE l_partkey END AS src,
-    CASE WHEN m < 3 THEN l_partkey ELSE l_partkey + 1 + (l_orderkey % 7) END AS dst
-  FROM (SELECT *, (l_partkey + l_suppkey + l_linenumber) % 10 AS m FROM lineitem WHERE l_orderkey % 20 = 0))"""
+    CASE WHEN m < 3 THEN {OBJECTS} + u * 8 + l_suppkey % 8 ELSE u * {VARS} + l_partkey % {VARS} END AS src,
+    (CASE WHEN m BETWEEN 3 AND 6 AND l_orderkey % 16 = 15 AND l_linenumber = 1 THEN u + 1 ELSE u END) * {VARS} + (l_suppkey * 3 + l_linenumber) % {VARS} AS dst
+  FROM (SELECT *, (l_partkey + l_suppkey + l_linenumber) % 10 AS m, l_orderkey // 16 AS u FROM lineitem))"""
 
-#: A call graph among 200 functions: who calls whom, at which site.
+#: A call graph among as many functions as customers: who calls whom, at which site.
 CALL_SQL = """
 call AS (
-  SELECT DISTINCT o_custkey % 200 AS caller, (o_custkey * 7 + o_orderkey) % 200 AS callee, o_orderkey AS site
-  FROM orders WHERE o_orderkey % 40 = 0)"""
+  SELECT DISTINCT o_custkey AS caller, o_custkey // 2 + o_orderkey % 3 AS callee, o_orderkey AS site
+  FROM orders)"""
+
+#: Statements' functions: their modules.
+FUN_SQL = f"fun_of AS (SELECT kind, src, dst, dst // {VARS} AS fun FROM stmt)"
+
 
-#: Statements' functions.
-FUN_SQL = "fun_of AS (SELECT kind, src, dst, (src * 3 + dst) % 200 AS fun FROM stmt)"
+def module(var: str) -> Column:
+    """The module of a variable."""
+    return F.expr(f"{var} div {VARS}")
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, src, dst of address, copy, load and store statements."""
     m = (F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % 10
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 20 = 0").withColumn("m", m)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("m", m).withColumn("u", F.expr("l_orderkey div 16"))
     kind = F.when(F.col("m") < 3, "addr").when(F.col("m") < 7, "copy").when(F.col("m") < 9, "load").otherwise("store")
-    src = F.when(F.col("m") < 3, F.col("l_suppkey") + OBJECTS).otherwise(F.col("l_partkey"))
-    dst = F.when(F.col("m") < 3, F.col("l_partkey")).otherwise(F.col("l_partkey") + 1 + F.col("l_orderkey") % 7)
+    src = F.when(F.col("m") < 3, OBJECTS + F.col("u") * 8 + F.col("l_suppkey") % 8).otherwise(F.col("u") * VARS + F.col("l_partkey") % VARS)
+    crosses = F.col("m").between(3, 6) & (F.col("l_orderkey") % 16 == 15) & (F.col("l_linenumber") == 1)
+    dst = F.when(crosses, F.col("u") + 1).otherwise(F.col("u")) * VARS + (F.col("l_suppkey") * 3 + F.col("l_linenumber")) % VARS
     return lines.select(kind.alias("kind"), src.alias("src"), dst.alias("dst")).distinct()
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """caller, callee, site."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 40 = 0")
-    return o.select((F.col("o_custkey") % 200).alias("caller"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 200).alias("callee"), F.col("o_orderkey").alias("site")).distinct()
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_custkey").alias("caller"), F.expr("o_custkey div 2 + o_orderkey % 3").alias("callee"), F.col("o_orderkey").alias("site")).distinct()
 
 
 def with_functions(stmt: DataFrame) -> DataFrame:
-    return stmt.withColumn("fun", (F.col("src") * 3 + F.col("dst")) % 200)
+    return stmt.withColumn("fun", module("dst"))
