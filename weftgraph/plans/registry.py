@@ -81,14 +81,14 @@ geps AS (SELECT CASE WHEN kind = 'copy' AND (src + dst) % 3 = 0 THEN 'gep' ELSE
   UNION
   (SELECT 'p', c.b, c.bf, p.b, p.bf FROM r p JOIN recurring.r c ON p.k = 'p' AND c.k = 'c' AND c.a = p.a AND c.af = p.af
    UNION SELECT 'p', c.b, c.bf, p.b, p.bf FROM r c JOIN recurring.r p ON p.k = 'p' AND c.k = 'c' AND c.a = p.a AND c.af = p.af
-   UNION SELECT 'p', g.dst, 0, p.b, (p.bf + g.off) % 8 FROM r p JOIN geps g ON p.k = 'p' AND p.af = 0 AND g.kind = 'gep' AND g.src = p.a
+   UNION SELECT 'p', g.dst, 0, p.b, (p.bf + g.off) % 2 FROM r p JOIN geps g ON p.k = 'p' AND p.af = 0 AND g.kind = 'gep' AND g.src = p.a
    UNION SELECT 'c', p.b, p.bf, s.dst, 0 FROM r p JOIN geps s ON p.k = 'p' AND p.af = 0 AND s.kind = 'load' AND s.src = p.a
    UNION SELECT 'c', s.src, 0, p.b, p.bf FROM r p JOIN geps s ON p.k = 'p' AND p.af = 0 AND s.kind = 'store' AND s.dst = p.a))
 SELECT a AS var, af AS vfld, b AS obj, bf AS fld FROM r WHERE k = 'p'""")
 def points_to_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     stmt = facts.statements(spark, sf_dir)
     gep = F.expr("kind = 'copy' and (src + dst) % 3 = 0")
-    return inclusion.points_to_fields(stmt.select(F.when(gep, "gep").otherwise(F.col("kind")).alias("kind"), "src", "dst", F.when(gep, 1 + F.col("dst") % 4).otherwise(0).alias("off")), limit=8)
+    return inclusion.points_to_fields(stmt.select(F.when(gep, "gep").otherwise(F.col("kind")).alias("kind"), "src", "dst", F.when(gep, 1 + F.col("dst") % 4).otherwise(0).alias("off")), limit=2)
 
 
 @query(f"{PTS} SELECT var, obj FROM pts WHERE var IN (SELECT dst FROM stmt WHERE kind = 'store')")
