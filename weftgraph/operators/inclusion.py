@@ -42,7 +42,7 @@ def split(stmt: DataFrame, most_local: int) -> tuple[DataFrame, DataFrame | None
     large = table(placed.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_local).select("unit"))
     if large.isEmpty():
         return placed, None
-    return placed.join(large, "unit", "left_anti"), placed.join(large, "unit", "left_semi").select("kind", "src", "dst")
+    return placed.join(large, "unit", "left_anti"), placed.join(large, "unit", "left_semi").select(*stmt.columns)
 
 
 def _solved(rows: DataFrame) -> Relations:
@@ -85,9 +85,16 @@ def points_to(stmt: DataFrame) -> DataFrame:
     return solve(stmt)["pts"]
 
 
-def points_to_fields(stmt: DataFrame, limit: int = 8) -> DataFrame:
-    """(var, obj, fld) with field-sensitive `gep` statements (off): fields are taken modulo the object's limit."""
-    stmt = table(stmt.withColumn("off", F.coalesce("off", F.lit(0)).cast("long")))
+def points_to_fields(stmt: DataFrame, limit: int = 8, most_local: int = local.MOST_STATEMENTS) -> DataFrame:
+    """(var, vfld, obj, fld) with field-sensitive `gep` statements (off): fields are taken modulo the object's limit.
+
+    Weak components of at most `most_local` statements are solved in a task each, larger ones by rounds.
+    """
+    stmt = table(stmt.select("kind", "src", "dst", F.coalesce("off", F.lit(0)).cast("long").alias("off")).distinct())
+    if most_local:
+        small, large = split(stmt, most_local)
+        found = table(local.solve_fields(small, limit))
+        return found if large is None else found.unionByName(points_to_fields(large, limit, most_local=0))
     load, store = _kind(stmt, "load"), _kind(stmt, "store")
     gep = stmt.where("kind = 'gep'").select(F.col("src"), F.col("dst"), "off")
     # a location is (object, field); variables are locations with field 0, so one pair of columns names both

@@ -69,3 +69,62 @@ def solved_rows(stmt: pd.DataFrame, both_ways: bool) -> pd.DataFrame:
 def solve(stmt: DataFrame, both_ways: bool = False) -> DataFrame:
     """Rows (k, a, b) of statements with a column unit; each unit is solved alone and holds at most MOST_STATEMENTS."""
     return stmt.select("kind", "src", "dst", "unit").groupBy("unit").applyInPandas(lambda p: solved_rows(p, both_ways), "k string, a long, b long")
+
+
+def solved_fields(stmt: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Rows (var, vfld, obj, fld): field vfld of var may point to field fld of obj. An object's fields are `limit` neighbouring bits."""
+    objects = sorted({*stmt.loc[stmt["kind"] == "addr", "src"].tolist()})
+    place = {o: i * limit for i, o in enumerate(objects)}
+    firsts = sum(1 << i for i in place.values())
+    # by offset: the bits of fields that stay below the limit; the others start again at the object's first field
+    low = [firsts * ((1 << (limit - off)) - 1) for off in range(limit)]
+    known, fresh = defaultdict(int), defaultdict(int)
+    succ, geps, loads, stores = defaultdict(set), defaultdict(list), defaultdict(list), defaultdict(list)
+    busy: list[tuple[int, int]] = []
+
+    def give(node: tuple[int, int], more: int) -> None:
+        more &= ~known[node]
+        if more:
+            if not fresh[node]:
+                busy.append(node)
+            known[node] |= more
+            fresh[node] |= more
+
+    def link(a: tuple[int, int], b: tuple[int, int]) -> None:
+        if b not in succ[a]:
+            succ[a].add(b)
+            give(b, known[a])
+
+    for kind, src, dst, off in stmt[["kind", "src", "dst", "off"]].itertuples(index=False):
+        if kind == "addr":
+            give((dst, 0), 1 << place[src])
+        elif kind == "copy":
+            link((src, 0), (dst, 0))
+        elif kind == "gep":
+            geps[src].append((dst, off % limit))
+        elif kind == "load":
+            loads[src].append(dst)
+        elif kind == "store":
+            stores[dst].append(src)
+    while busy:
+        node = busy.pop()
+        more, fresh[node] = fresh[node], 0
+        var, fld = node
+        if fld == 0:
+            for dst, off in geps.get(var, ()):
+                give((dst, 0), (more & low[off]) << off | (more & ~low[off]) >> (limit - off))
+            for i in _bits(more) if var in loads or var in stores else ():
+                at = (objects[i // limit], i % limit)
+                for dst in loads.get(var, ()):
+                    link(at, (dst, 0))
+                for src in stores.get(var, ()):
+                    link((src, 0), at)
+        for dst in list(succ[node]):
+            give(dst, more)
+    rows = [(*n, objects[i // limit], i % limit) for n, x in known.items() for i in _bits(x)]
+    return pd.DataFrame(rows, columns=["var", "vfld", "obj", "fld"])
+
+
+def solve_fields(stmt: DataFrame, limit: int) -> DataFrame:
+    """Rows (var, vfld, obj, fld) of statements with the columns off and unit; each unit is solved alone."""
+    return stmt.select("kind", "src", "dst", "off", "unit").groupBy("unit").applyInPandas(lambda p: solved_fields(p, limit), "var long, vfld long, obj long, fld long")

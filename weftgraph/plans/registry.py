@@ -76,6 +76,12 @@ GEP = """
 geps AS (SELECT CASE WHEN kind = 'copy' AND (src + dst) % 3 = 0 THEN 'gep' ELSE kind END AS kind, src, dst, CASE WHEN kind = 'copy' AND (src + dst) % 3 = 0 THEN 1 + dst % 4 ELSE 0 END AS off FROM stmt)"""
 
 
+def _geps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stmt = facts.statements(spark, sf_dir)
+    gep = F.expr("kind = 'copy' and (src + dst) % 3 = 0")
+    return stmt.select(F.when(gep, "gep").otherwise(F.col("kind")).alias("kind"), "src", "dst", F.when(gep, 1 + F.col("dst") % 4).otherwise(0).alias("off"))
+
+
 @query(f"""{WITH}, {GEP}, r(k, a, af, b, bf) USING KEY (k, a, af, b, bf) AS (
   SELECT CASE WHEN kind = 'addr' THEN 'p' ELSE 'c' END, CASE WHEN kind = 'addr' THEN dst ELSE src END, 0::BIGINT, CASE WHEN kind = 'addr' THEN src ELSE dst END, 0::BIGINT FROM geps WHERE kind IN ('addr', 'copy')
   UNION
@@ -86,9 +92,12 @@ geps AS (SELECT CASE WHEN kind = 'copy' AND (src + dst) % 3 = 0 THEN 'gep' ELSE
    UNION SELECT 'c', s.src, 0, p.b, p.bf FROM r p JOIN geps s ON p.k = 'p' AND p.af = 0 AND s.kind = 'store' AND s.dst = p.a))
 SELECT a AS var, af AS vfld, b AS obj, bf AS fld FROM r WHERE k = 'p'""")
 def points_to_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stmt = facts.statements(spark, sf_dir)
-    gep = F.expr("kind = 'copy' and (src + dst) % 3 = 0")
-    return inclusion.points_to_fields(stmt.select(F.when(gep, "gep").otherwise(F.col("kind")).alias("kind"), "src", "dst", F.when(gep, 1 + F.col("dst") % 4).otherwise(0).alias("off")), limit=2)
+    return inclusion.points_to_fields(_geps(spark, sf_dir), limit=2)
+
+
+@query()
+def points_to_eight_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inclusion.points_to_fields(_geps(spark, sf_dir), limit=8)
 
 
 @query(f"{PTS} SELECT var, obj FROM pts WHERE var IN (SELECT dst FROM stmt WHERE kind = 'store')")
