@@ -1,12 +1,10 @@
 """Whole results of the graph engine against brute force: fields, threads, intervals."""
 
-import glob
-import os
+import random
 
-import duckdb
 import pytest
 
-from weftgraph.operators import inclusion
+from weftgraph.operators import concurrency, inclusion
 from weftgraph.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +51,62 @@ def test_fields_wrap_and_stay_apart(spark, most_local):
     got = rows(inclusion.points_to_fields(spark.createDataFrame(stmt, "kind string, src long, dst long, off int"), most_local=most_local))
     assert got == fields_by_brute_force([(k, s, d, o or 0) for k, s, d, o in stmt], 8)
     assert {f for v, _, o, f in got if v == 3 and o == 100} == {1, 3, 5, 7}
+
+
+def races_by_brute_force(access, fork, joined):
+    """Every run of a thread is a path of forks. Two runs meet in the last thread both paths share."""
+    fork = sorted(set(fork))
+    until = {(p, c, at): min((j for q, d, j in joined if (q, d) == (p, c) and j > at), default=None) for p, c, at in fork}
+    roots = {p for p, _, _ in fork} - {c for _, c, _ in fork}
+    runs = [(r, ()) for r in roots]
+    for t, path in runs:
+        runs += [(f[1], (*path, f)) for f in fork if f[0] == t]
+
+    def span(path):
+        """The positions of the first fork's parent between which the last fork's child may run."""
+        return path[0][2], float("inf") if any(until[f] is None for f in path) else until[path[0]]
+
+    found = set()
+    for t, p in runs:
+        for u, q in runs:
+            same = next((i for i, (f, g) in enumerate(zip(p, q, strict=False)) if f != g), min(len(p), len(q)))
+            p1, q1 = p[same:], q[same:]
+            if not q1 or same == 0 and ((p or q)[0][0] != (q or p)[0][0] or (not p and t != q[0][0])):
+                continue
+            (lo, hi), (lo2, hi2) = span(q1), span(p1) if p1 else (None, None)
+            if p1 and not max(lo, lo2) < min(hi, hi2):
+                continue
+            for ta, pa, oa, wa, la in access:
+                for tb, pb, ob, wb, lb in access:
+                    if (ta, tb, oa) == (t, u, ob) and (wa or wb) and (la is None or la != lb) and (p1 or lo < pa < hi):
+                        found.add((*min((ta, pa), (tb, pb)), *max((ta, pa), (tb, pb)), oa))
+    return found
+
+
+ACCESS, FORK = "thread long, pos long, obj long, writes boolean, lock long", "parent long, child long, at long"
+
+
+def races_of(spark, access, fork, joined):
+    return rows(concurrency.all_races(spark.createDataFrame(access, ACCESS), spark.createDataFrame(fork, FORK), spark.createDataFrame(joined, FORK)))
+
+
+def test_races_of_siblings_and_grandchildren(spark):
+    fork, joined = [(1, 2, 10), (1, 3, 20), (1, 4, 60), (2, 5, 5), (1, 6, 90)], [(1, 2, 50), (1, 3, 55), (1, 4, 70)]
+    access = [(t, 1, 7, True, None) for t in (2, 3, 4, 5, 6)] + [(1, 5, 7, True, 1), (1, 30, 7, False, 1), (1, 2_000_000, 7, False, 2)]
+    got = races_of(spark, access, fork, joined)
+    assert (2, 1, 3, 1, 7) in got and (1, 30, 5, 1, 7) in got and (3, 1, 5, 1, 7) in got and (1, 2_000_000, 6, 1, 7) in got
+    assert (2, 1, 4, 1, 7) not in got and (4, 1, 5, 1, 7) in got and (1, 2_000_000, 5, 1, 7) in got and (1, 2_000_000, 2, 1, 7) not in got
+    assert got == races_by_brute_force(access, fork, joined)
+
+
+def test_races_equal_brute_force(spark):
+    rng = random.Random(5)
+    for turn in range(4):
+        edges = [(p, c) for c in range(2, 8) for p in rng.sample(range(1, c), min(c - 1, 1 + (rng.random() < 0.4)))] + [(20, 21), (20, 22)]
+        fork = [(*e, rng.randrange(8)) for e in edges for _ in range(1 + (rng.random() < 0.3))]
+        joined = [(*e, rng.randrange(2, 12)) for e in edges if rng.random() < 0.7]
+        access = [(rng.choice([1, 2, 3, 4, 5, 6, 7, 20, 21, 22]), rng.randrange(14), rng.randrange(2), rng.random() < 0.5, rng.choice([None, 1, 2])) for _ in range(40)]
+        access = list(set(access))
+        assert races_of(spark, access, fork, joined) == races_by_brute_force(access, fork, joined), turn
+
+

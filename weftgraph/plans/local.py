@@ -128,3 +128,63 @@ def solved_fields(stmt: pd.DataFrame, limit: int) -> pd.DataFrame:
 def solve_fields(stmt: DataFrame, limit: int) -> DataFrame:
     """Rows (var, vfld, obj, fld) of statements with the columns off and unit; each unit is solved alone."""
     return stmt.select("kind", "src", "dst", "off", "unit").groupBy("unit").applyInPandas(lambda p: solved_fields(p, limit), "var long, vfld long, obj long, fld long")
+
+
+def interleaved_rows(spans: pd.DataFrame) -> pd.DataFrame:
+    """Rows (k, a, b) of operators.concurrency.interleaved, from forks (parent, child, since, until) of a unit; sets are bits."""
+    threads = sorted({*spans["parent"].tolist(), *spans["child"].tolist()})
+    place = {t: i for i, t in enumerate(threads)}
+    forks: list[list[tuple[int, int, float]]] = [[] for _ in threads]
+    for parent, child, since, until in spans[["parent", "child", "since", "until"]].itertuples(index=False):
+        forks[place[parent]].append((place[child], since, float("inf") if pd.isna(until) else until))
+    # per thread, its children and whether one fork of them is never joined
+    kids = [{c: any(d == c and u == float("inf") for d, _, u in fs) for c, _, _ in fs} for fs in forks]
+    order, seen = [], [False] * len(threads)
+    for root in range(len(threads)):  # children before parents, but for cycles
+        stack = [] if seen[root] else [(root, iter(kids[root]))]
+        seen[root] = True
+        while stack:
+            t, rest = stack[-1]
+            c = next((c for c in rest if not seen[c]), None)
+            if c is None:
+                order.append(t)
+                stack.pop()
+            else:
+                seen[c] = True
+                stack.append((c, iter(kids[c])))
+    below, out = [1 << i for i in range(len(threads))], [0] * len(threads)
+    changed = True
+    while changed:
+        changed = False
+        for t in order:
+            was = below[t], out[t]
+            for c, free in kids[t].items():
+                below[t] |= below[c]
+                out[t] |= below[c] if free else out[c]
+            changed |= was != (below[t], out[t])
+    # beside: of the thread and all below it; after: of those that outlive it only
+    beside, after = [0] * len(threads), [0] * len(threads)
+    for fs in forks:
+        for i, (c, since, until) in enumerate(fs):
+            for d, begin, end in fs[:i]:
+                if since < end and begin < until:
+                    beside[c] |= below[d]
+                    beside[d] |= below[c]
+                else:
+                    first, second = (c, d) if until <= begin else (d, c)
+                    after[first] |= below[second]
+                    beside[second] |= out[first]
+    changed = True
+    while changed:
+        changed = False
+        for t in reversed(order):
+            for c, free in kids[t].items():
+                was = beside[c], after[c]
+                beside[c] |= beside[t]
+                if free:
+                    beside[c] |= after[t]
+                else:
+                    after[c] |= after[t]
+                changed |= was != (beside[c], after[c])
+    rows = [(k, threads[i], threads[j]) for k, sets in (("r", below), ("e", out), ("p", beside)) for i, x in enumerate(sets) for j in _bits(x >> i << i if k == "p" else x)]
+    return pd.DataFrame(rows, columns=["k", "a", "b"])

@@ -362,19 +362,29 @@ joined AS (SELECT DISTINCT o_custkey AS parent, o_custkey + 1 + o_orderkey % 3 A
 access AS (SELECT DISTINCT e.user_id AS thread, e.event_id % 97 AS pos, e.event_id % 23 AS obj, e.event_type = 'purchase' AS writes, e.event_id % 7 AS lock FROM events e)"""
 
 
-@query(f"""WITH {FORKS}, alive AS (SELECT f.parent, f.child, min(f.at) AS since, coalesce(min(j.at), 1000000) AS until FROM fork f LEFT JOIN joined j ON j.parent = f.parent AND j.child = f.child AND j.at > f.at GROUP BY f.parent, f.child)
-SELECT DISTINCT a.thread AS thread_a, a.pos AS pos_a, b.thread AS thread_b, b.pos AS pos_b, a.obj FROM access a JOIN alive v ON v.parent = a.thread AND a.pos > v.since AND a.pos < v.until JOIN access b ON b.thread = v.child AND b.obj = a.obj
-WHERE (a.writes OR b.writes) AND a.lock <> b.lock""")
-def race_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     child = (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("child")
     fork = o.select(F.col("o_custkey").alias("parent"), child, (F.col("o_orderkey") % 100).alias("at")).distinct()
     joined = o.select(F.col("o_custkey").alias("parent"), child, (50 + F.col("o_orderkey") % 50).alias("at")).distinct()
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     access = e.select(F.col("user_id").alias("thread"), (F.col("event_id") % 97).alias("pos"), (F.col("event_id") % 23).alias("obj"), (F.col("event_type") == "purchase").alias("writes"), (F.col("event_id") % 7).alias("lock")).distinct()
+    return access, fork, joined
+
+
+@query(f"""WITH {FORKS}, alive AS (SELECT f.parent, f.child, min(f.at) AS since, coalesce(min(j.at), 1000000) AS until FROM fork f LEFT JOIN joined j ON j.parent = f.parent AND j.child = f.child AND j.at > f.at GROUP BY f.parent, f.child)
+SELECT DISTINCT a.thread AS thread_a, a.pos AS pos_a, b.thread AS thread_b, b.pos AS pos_b, a.obj FROM access a JOIN alive v ON v.parent = a.thread AND a.pos > v.since AND a.pos < v.until JOIN access b ON b.thread = v.child AND b.obj = a.obj
+WHERE (a.writes OR b.writes) AND a.lock <> b.lock""")
+def race_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    access, fork, joined = _threads(spark, sf_dir)
     return concurrency.races(access, concurrency.alive(fork, joined))
 
 
+@query()
+def thread_races(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concurrency.all_races(*_threads(spark, sf_dir))
+
+
 # ---- intervals ---------------------------------------------------------------------------------------------------
 
 
