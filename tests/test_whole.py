@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 from weftgraph.operators import concurrency, inclusion
@@ -110,3 +111,22 @@ def test_races_equal_brute_force(spark):
         assert races_of(spark, access, fork, joined) == races_by_brute_force(access, fork, joined), turn
 
 
+def test_lattice_of_the_whole_table(spark):
+    lines = duckdb.sql(f"select l_suppkey, l_returnflag, l_quantity from '{SF}/lineitem.parquet'").fetchall()
+    made = {r["supp"]: r for r in registry.QUERIES["interval_lattice_whole"](spark, SF).collect()}
+    for supp, r in made.items():
+        x, y = ([q for s, f, q in lines if s == supp and f == flag] for flag in "AN")
+        assert (r["join_lb"], r["join_ub"]) == (min(x + y), max(x + y))
+    assert set(made) == {s for s, f, _ in lines if f in "AN"}
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
+    cols = sorted(next(iter(made.values())).asDict())
+    want = con.sql(f"select {', '.join(cols)} from ({registry.ORACLE_SQL['interval_lattice_whole']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in cols)) for r in made.values())
+
+
+def test_lattice_of_missing_operands(spark):
+    lines = [(1, "A", 2.0), (1, "A", 5.0), (2, "N", 3.0), (3, "A", 1.0), (3, "N", 4.0), (4, "R", 9.0)]
+    got = {r["supp"]: tuple(r)[1:] for r in registry._lattice(spark.createDataFrame(lines, "l_suppkey long, l_returnflag string, l_quantity double")).collect()}
+    inf = float("inf")
+    assert got == {1: (2, 5, None, None, 2, 5, False), 2: (3, 3, None, None, 3, 3, True), 3: (1, 4, None, None, 1, inf, False)}

@@ -407,7 +407,16 @@ SELECT coalesce(x.supp, y.supp) AS supp, least(x.lb, y.lb) AS join_lb, greatest(
   CASE WHEN x.supp IS NULL THEN y.lb WHEN y.supp IS NULL THEN x.lb WHEN y.lb < x.lb THEN '-infinity'::DOUBLE ELSE x.lb END AS wide_lb, CASE WHEN x.supp IS NULL THEN y.ub WHEN y.supp IS NULL THEN x.ub WHEN y.ub > x.ub THEN 'infinity'::DOUBLE ELSE x.ub END AS wide_ub,
   (x.supp IS NULL OR (y.supp IS NOT NULL AND x.lb >= y.lb AND x.ub <= y.ub)) AS leq FROM x FULL JOIN y ON x.supp = y.supp""")
 def interval_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber > 4")
+    return _lattice(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber > 4"))
+
+
+@query(ORACLE_SQL["interval_lattice"].replace(" WHERE l_linenumber > 4", ""))
+def interval_lattice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lattice(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def _lattice(lines: DataFrame) -> DataFrame:
+    """Per supplier, the lattice operations on the quantities' intervals of return flags A and N."""
     ranges = lines.where("l_returnflag in ('A', 'N')").groupBy(F.col("l_suppkey").alias("supp")).agg(*[F.struct(F.min(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).alias("lb"), F.max(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).alias("ub")).alias(n) for f, n in (("A", "x"), ("N", "y"))])
     some = ranges.select("supp", *[F.when(F.col(f"{n}.lb").isNotNull(), F.col(n)).alias(n) for n in ("x", "y")])
     x, y = F.col("x"), F.col("y")
