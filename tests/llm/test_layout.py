@@ -208,6 +208,22 @@ def test_sharding_of_a_group_that_is_too_large(spark):
     check_shards(rows, [(r.doc_id, r.text) for r in docs.collect()], 10)
 
 
+def test_sharding_of_skewed_groups(spark):
+    """Groups of half a shard and more, of a quarter, and many small ones: all fit, so none is cut."""
+    rng = random.Random(8)
+    sizes = [130, 120, 115, 110, 105, 100, 100, 98] + [50] * 20 + [rng.randint(2, 15) for _ in range(150)]
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    texts += [f"alone {i}" for i in range(8000 - len(texts))]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(docs)
+    rows = balanced_sharding.shard(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check_shards(rows, docs)
+    where = collections.defaultdict(set)
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+    assert sum(len(w) > 1 for w in where.values()) == 0
+
+
 def test_sharding_of_odd_rows(odd, none):
     check_shards(balanced_sharding.shard(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()])
     assert balanced_sharding.shard(none).count() == 0

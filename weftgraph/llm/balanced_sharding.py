@@ -1,11 +1,13 @@
 """Sharding (operator 8): balanced label propagation, DataFrame operations only.
 
-Documents with equal texts are linked. Each document starts in a shard by hash; in each round every group of linked documents
-(too large groups are cut into units that fit) counts its members' shards, and moves to the shard most of them are in that
-still has room; a shard that is asked for more than its room accepts a share of the askers by hash, the others ask again.
-Documents without links then fill the rest, so shard counts differ by one at most (the law `rows`).
+Documents with equal texts are linked. Each document starts in a shard by hash, and every group of linked documents (groups
+larger than a shard are cut into units that fit) counts its members' shards. In each round an unsettled unit asks the shard most
+of its members are in of those with room for all of it; a shard takes the units, larger ones first, whose running sum of sizes
+stays within its room, and the others ask again. Units of more than a quarter of a shard settle before smaller ones ask. Rounds go on
+until no unsettled unit fits any shard: only those are cut. Documents without links then fill the rest, so shard counts
+differ by one at most (the law `rows`).
 
-Row numbers come from counts of hash blocks, never from one ordered task. Only one count a shard goes to the driver.
+Row numbers and running sums come from sums of hash blocks, never from one ordered task. Only one count a shard goes to the driver.
 Defined cases: null text has no bytes and equals no empty text's size, but is linked like an empty text; repeated rows are
 copies; ties go by hash, then id; no rows give no rows; other columns are ignored.
 """
@@ -13,6 +15,7 @@ copies; ties go by hash, then id; no rows give no rows; other columns are ignore
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +39,18 @@ def numbered(df: DataFrame, by: list[str], block_rows: int, rows: int, name: str
     return df.withColumn("_within", within).join(counts, [*by, "_block"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_block", "_within", "_before")
 
 
-def shard(df: DataFrame, shards: int = 40, rounds: int = 6, block_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def admitted(asks: DataFrame, room: list[int], block_rows: int, units: int) -> DataFrame:
+    """(unit, n, to) of the asks (unit, n, to) that each shard takes: whole units in order of size while their running sum fits."""
+    blocks = max(1, math.ceil(units / block_rows))
+    df = asks.withColumn("_class", F.floor(F.log2("n"))).withColumn("_block", F.pmod(F.xxhash64("unit", F.lit(6)), F.lit(blocks)).cast("int"))
+    sums = df.groupBy("to", "_class", "_block").agg(F.sum("n").alias("_n"))
+    over = Window.partitionBy("to").orderBy(F.desc("_class"), "_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("to", "_class", "_block", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
+    within = F.sum("n").over(Window.partitionBy("to", "_class", "_block").orderBy(F.desc("n"), "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("_within", within).join(sums, ["to", "_class", "_block"]).where(F.col("_before") + F.col("_within") <= _pick(room, F.col("to"))).select("unit", "n", "to")
+
+
+def shard(df: DataFrame, shards: int = 40, block_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = df[text_col].cast("string")
     raw = F.coalesce(text, F.lit("")).cast("binary")
@@ -44,40 +58,40 @@ def shard(df: DataFrame, shards: int = 40, rounds: int = 6, block_rows: int = 20
     docs = common.materialise(rows, "rows")
     total = docs.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    most, fit = max(1, total // shards), max(1, total // shards // 4)
+    most, fit = max(1, quota[0]), max(1, total // shards // 4)
     groups = docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     unit = F.xxhash64("key", F.pmod(F.xxhash64("rid"), F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") / fit))))
     start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int")
-    linked = common.materialise(docs.join(groups, "key").select("rid", unit.alias("unit"), start.alias("shard"), F.lit(False).alias("settled")), "linked")
-
-    for turn in range(rounds):
-        load = {r["shard"]: r["n"] for r in linked.where("settled").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        room = [max(0, quota[s] - load.get(s, 0)) for s in range(shards)]
-        votes = linked.where("not settled").groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("c"))
-        rank = F.struct((_pick(room, F.col("shard")) >= F.col("n")).alias("fits"), F.col("c"), F.xxhash64("unit", "shard", F.lit(turn)).alias("tie"), F.col("shard"))
-        sizes = votes.groupBy("unit").agg(F.sum("c").alias("n"))
-        best = votes.join(sizes, "unit").withColumn("rank", rank).groupBy("unit").agg(F.max("rank").alias("best"), F.max("n").alias("n"))
-        # a unit none of whose shards has room tries one that has, by hash over the room
-        steps, sum_ = [], 0
-        for s in range(shards):
-            sum_ += room[s]
-            steps.append(sum_)
-        spot = F.pmod(F.xxhash64("unit", F.lit(100 + turn)), F.lit(max(1, sum_)))
-        other = sum(((spot >= x).cast("int") for x in steps[:-1]), F.lit(0))
-        asks = best.select("unit", "n", F.when(F.col("best.fits"), F.col("best.shard")).otherwise(other).alias("to"))
-        asks = common.materialise(asks, "asks")
-        asked = {r["to"]: r["n"] for r in asks.groupBy("to").agg(F.sum("n").alias("n")).collect()}
-        if not asked:
-            common.discard(asks)
-            break
-        share = [1_000_000 if asked.get(s, 0) <= room[s] else int(970_000 * room[s] / asked[s]) for s in range(shards)]
-        yes = asks.where(F.pmod(F.xxhash64("unit", F.lit(200 + turn)), F.lit(1_000_000)) < _pick(share, F.col("to"))).select("unit", "to")
-        moved = linked.join(yes, "unit", "left").select("rid", "unit", F.coalesce("to", "shard").alias("shard"), (F.col("settled") | F.col("to").isNotNull()).alias("settled"))
-        now = common.materialise(moved, "linked")
-        common.discard(linked, asks)
-        linked = now
-
-    placed = numbered(linked.where("settled").join(docs, "rid"), ["shard"], block_rows, total, "slot").where(F.col("slot") < _pick(quota, F.col("shard")))
+    linked = common.materialise(docs.join(groups, "key").select("rid", unit.alias("unit"), start.alias("shard")), "linked")
+    votes = linked.groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("c")).groupBy("unit")
+    left = common.materialise(votes.agg(F.sum("c").alias("n"), F.collect_list(F.struct("c", "shard")).alias("votes")), "left")
+    units = left.count()
+
+    room, least, turn, settled = list(quota), fit, 0, []
+    while units:
+        free = F.filter(F.array(*[F.struct(F.lit(r).alias("room"), F.lit(s).alias("shard")) for s, r in enumerate(room)]), lambda x: x["room"] >= F.col("n"))
+        best = F.array_max(F.transform(F.filter("votes", lambda v: _pick(room, v["shard"]) >= F.col("n")), lambda v: F.struct(v["c"].alias("c"), F.xxhash64("unit", v["shard"], F.lit(turn)).alias("tie"), v["shard"].alias("shard"))))
+        # a unit none of whose shards has room tries one that has, by hash
+        asks = left.where(F.col("n") > least).withColumn("free", free).where(F.size("free") > 0)
+        other = F.element_at("free", (F.pmod(F.xxhash64("unit", F.lit(100 + turn)), F.size("free")) + 1).cast("int"))["shard"]
+        asks = asks.select("unit", "n", F.coalesce(best["shard"], other).alias("to"))
+        took = common.materialise(admitted(asks, room, block_rows, units), "took")
+        sums = {r["to"]: r["n"] for r in took.groupBy("to").agg(F.sum("n").alias("n")).collect()}
+        turn += 1
+        if not sums:  # the first ask of any shard fits, so nobody asked
+            common.discard(took)
+            if not least:
+                break
+            least = 0
+            continue
+        settled.append(took)
+        room = [r - sums.get(s, 0) for s, r in enumerate(room)]
+        now = common.materialise(left.join(took.select("unit"), "unit", "left_anti"), "left")
+        common.discard(left)
+        left = now
+
+    whole = reduce(DataFrame.unionByName, settled).select("unit", F.col("to").alias("shard")) if settled else linked.select("unit", "shard").limit(0)
+    placed = numbered(linked.select("rid", "unit").join(whole, "unit").join(docs, "rid"), ["shard"], block_rows, total, "slot")
     placed = common.materialise(placed.select("doc_id", "size", "text_crc32", "shard", "slot", "rid"), "placed")
     load = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     free = numbered(docs.join(placed.select("rid"), "rid", "left_anti"), [], block_rows, total, "at")
