@@ -96,3 +96,13 @@ def test_lm_of_odd_rows(odd, none):
     assert len(rows) == odd.count()
     check_lm(rows, [(r.doc_id, r.text) for r in odd.collect()])
     assert deleted_interpolation.score(none).count() == 0
+
+
+def test_language_of_many(spark):
+    """More languages than a fixed number: the rarest is learnt and told too."""
+    names = [f"l{i:03}" for i in range(215)]
+    docs = [(4 * i + j, chr(97 + i % 26) * 3 + chr(97 + i // 26) * 3 + " " + chr(97 + i // 26) * 4, x) for i, x in enumerate(names) for j in range(4 if i else 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = subword_langid.fit(df)
+    assert list(model.langs) == names
+    assert "l000" in {r.lang_pred for r in subword_langid.predict(df.where("lang = 'l000'"), model).collect()}

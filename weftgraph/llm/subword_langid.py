@@ -126,16 +126,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
     return Model(langs, logits, bias, temperature, floor)
 
 
-def fit(docs: DataFrame, most_rows: int = 1000, most_langs: int = 200, **options) -> Model:
-    """Learn from rows (doc_id, text, lang): at most `most_rows` of each language, chosen by hash."""
+def fit(docs: DataFrame, most_rows: int = 1000, **options) -> Model:
+    """Learn from rows (doc_id, text, lang): at most `most_rows` of each language, chosen by hash. Every language is learnt; each takes BUCKETS floats."""
     common.session(docs)
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).where("lang is not null and text is not null")
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect())
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     # chosen by an id hash without the texts; a share of each language first, so that no window sees a whole one
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")).join(F.broadcast(sizes), "lang").where(F.col("h") < 2.0 * most_rows * (1 << 30) / F.col("n") + 1)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = ids.withColumn("k", rank).where((F.col("k") <= most_rows) & F.col("lang").isin(langs)).select("doc_id").distinct()
+    chosen = ids.withColumn("k", rank).where(F.col("k") <= most_rows).select("doc_id").distinct()
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,6 @@ def fit(docs: DataFrame, most_rows: int = 1000, most_langs: int = 200, **options
 
     rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(count, "doc_id long, lang string, at array<int>, n array<int>").toArrow()
     table = sorted(zip(rows["doc_id"].to_pylist(), rows["lang"].to_pylist(), rows["at"].to_numpy(), rows["n"].to_numpy(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], -len(r[2])))
-    table = [r for r in table if r[1] in set(langs)]
     index = {s: i for i, s in enumerate(langs)}
     return train([(np.asarray(r[2]), np.asarray(r[3])) for r in table], np.array([index[r[1]] for r in table], np.int64), langs, **options)
 
