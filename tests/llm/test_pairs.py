@@ -5,11 +5,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftgraph.llm import circulant_minhash, common, golomb_dedup, queries, spotsigs
+from weftgraph.llm import circulant_minhash, common, golomb_dedup, places, queries, spotsigs
 
 
 def words(text):
@@ -100,6 +101,39 @@ def test_exact_dedup_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and kept.count() == len(by) and golomb_dedup.keep_one(none).count() == 0
 
 
+def test_rows_by_their_place(spark, tmp_path):
+    """Bitmaps over several files, in one round and in many, also where one file has more words than a round."""
+    spark.range(0, 1000, 1, 5).selectExpr("id", "'x' as text").write.parquet(f"file://{tmp_path}/a")
+    docs = places.Numbered(spark.read.parquet(f"file://{tmp_path}/a"))
+    assert docs.total == 1000 and docs.rows.select(places.RID).distinct().count() == 1000
+    wanted = docs.rows.where("id % 7 = 3")
+    for most in (None, 4, 2):
+        assert {r.id for r in docs.within(wanted, most_words=most).collect()} == set(range(3, 1000, 7))
+        assert {r.id for r in docs.within(wanted, keep=False, most_words=most).collect()} == {i for i in range(1000) if i % 7 != 3}
+    plan = docs.within(wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_exact_dedup_moves_suspects_only(spark, tmp_path):
+    """The shuffle of texts reads what the bitmaps let through; a sender of any partition number has room for its chunks."""
+    docs = spark.createDataFrame([(i, f"text {i % 90}" if i < 100 else f"own {i}") for i in range(400)], "doc_id long, text string")
+    docs.repartition(4).write.parquet(f"file://{tmp_path}/d")
+    rows = golomb_dedup.dedup(spark.read.parquet(f"file://{tmp_path}/d")).collect()
+    assert sum(not r.kept for r in rows) == 10 and {r.group_size for r in rows} == {1, 2}
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, None], "sha": [b"a" * 32, b"b" * 32], places.RID: [5000 << 33, 7], "tie": [0, 1]})
+
+    class Context:
+        partitionId = staticmethod(lambda: 5000)
+
+    was, golomb_dedup.TaskContext = golomb_dedup.TaskContext, type("T", (), {"get": staticmethod(lambda: Context)})
+    try:
+        (sent,) = golomb_dedup._send(4)(iter([batch]))
+    finally:
+        golomb_dedup.TaskContext = was
+    own = sent.filter(pa.compute.less(sent.column("owner"), 0)).to_pylist()[0]
+    assert own["src"] == 5000 << 32 and own["rids"] == [5000 << 33, 7] and own["ids"] == [1, None]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=200))
 def test_rice_round_trip(values):

@@ -76,6 +76,18 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def join_hot(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int, how: str = "inner", most: int = 2000) -> DataFrame:
+    """Rows joined with the one row that classes has of their key; n is the number of rows with that key.
+
+    Keys with at least total/most rows, of which there can't be more than `most`, are broadcast, so a key that holds a third of all
+    rows never lands in one task; the others are shuffled. how: "left" keeps rows whose key (never null) has no class.
+    """
+    least = max(1000, -(-total // most))
+    hot, cold = classes.where(F.col(n) >= least), classes.where(F.col(n) < least)
+    often = rows.join(F.broadcast(hot), key)
+    return often.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column's value as text, modulo n; a null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")

@@ -5,11 +5,15 @@
 2. An owner decodes the lists of all senders, finds the fingerprints that occur more than once and answers each sender with
    a bitmap over that sender's list.
 3. The sender's packed row and bitmaps meet again: each document is a suspect or alone. Only fingerprints are moved so far.
-4. Suspects' texts are grouped by the whole text with map-side aggregation, so a copy that fills a third of the rows leaves
-   each task once, and every fingerprint must stand for one text; a collision stops the job.
+4. The bitmaps are applied where the texts are read (places.Numbered.within): suspects' texts alone are shuffled. They are
+   grouped by the whole text with map-side aggregation, so a copy that fills a third of the rows leaves each task once, and
+   every fingerprint must stand for one text; a collision stops the job.
+
+`keep_one` drops rows the same way, by their numbers where they are read, so no kept text is shuffled.
 
 Defined cases: null text counts as empty; empty texts are copies of one another; the largest id stays, and of repeated rows
-with that id one; null ids are below all others; no rows give no rows; other columns are ignored.
+with that id the one whose other columns hash highest; null ids are below all others; no rows give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, places
 
 #: Documents of one sender; bounds the packed rows.
 CHUNK_DOCS = 50_000
@@ -64,30 +68,32 @@ def duplicate_bitmaps(lists: list[np.ndarray], repeated: list[np.ndarray]) -> li
 
 
 def _send(owners: int):
-    schema = pa.schema([("src", pa.int64()), ("owner", pa.int32()), ("blob", pa.binary()), ("extra", pa.binary()), ("ids", pa.list_(pa.int64()))])
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("src", pa.int64()), ("owner", pa.int32()), ("blob", pa.binary()), ("extra", pa.binary()), ("ids", longs), ("rids", longs), ("ties", longs)])
 
-    def flush(src: int, ids: list, shas: list[bytes]) -> Iterator[pa.RecordBatch]:
-        sha = np.frombuffer(b"".join(shas), np.uint8).reshape(-1, 32)
+    def flush(src: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+        sha = np.frombuffer(b"".join(docs["sha"].to_pylist()), np.uint8).reshape(-1, 32)
         prints = np.ascontiguousarray(sha[:, :8]).view(">u8").ravel().astype(np.uint64)
         distinct, counts = np.unique(prints, return_counts=True)
         owner = (distinct >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)
         at = np.searchsorted(owner, np.arange(owners + 1, dtype=np.uint64))
-        sent = [o for o in range(owners) if at[o] < at[o + 1]]
+        sent = np.flatnonzero(at[:-1] < at[1:]).tolist()
         blobs = [rice_encode(distinct[at[o] : at[o + 1]] - distinct[at[o]]) + int(distinct[at[o]]).to_bytes(8, "little") for o in sent]
         twice = [np.packbits(counts[at[o] : at[o + 1]] > 1).tobytes() for o in sent]
         # owner -1: the sender's own documents, which wait for the answers
-        yield common.output(schema, src=[src] * (len(sent) + 1), owner=[*sent, -1], blob=[*blobs, sha.tobytes()], extra=[*twice, b""], ids=[*[None] * len(sent), ids])
+        own = {n: pa.concat_arrays([pa.nulls(len(sent), longs), pa.ListArray.from_arrays([0, len(docs)], docs[c].combine_chunks())]) for n, c in (("ids", "doc_id"), ("rids", places.RID), ("ties", "tie"))}
+        yield common.output(schema, src=[src] * (len(sent) + 1), owner=[*sent, -1], blob=[*blobs, sha.tobytes()], extra=[*twice, b""], **own)
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, ids, shas = TaskContext.get().partitionId() << 32, [], []
+        src, held, n = TaskContext.get().partitionId() << 32, [], 0
         for b in it:
-            ids += b.column("doc_id").to_pylist()
-            shas += b.column("sha").to_pylist()
-            while len(ids) >= CHUNK_DOCS:
-                yield from flush(src, ids[:CHUNK_DOCS], shas[:CHUNK_DOCS])
-                src, ids, shas = src + 1, ids[CHUNK_DOCS:], shas[CHUNK_DOCS:]
-        if ids:
-            yield from flush(src, ids, shas)
+            held.append(b)
+            n += b.num_rows
+            if n >= CHUNK_DOCS:
+                yield from flush(src, pa.Table.from_batches(held))
+                src, held, n = src + 1, [], 0
+        if n:
+            yield from flush(src, pa.Table.from_batches(held))
 
     return send
 
@@ -101,7 +107,7 @@ def _answer(p: pd.DataFrame) -> pd.DataFrame:
 def _receive(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     out = []
     answers = answers.sort_values("owner")
-    for src, ids, blob in zip(own["src"], own["ids"], own["blob"], strict=True):
+    for ids, rids, ties, blob in zip(own["ids"], own["rids"], own["ties"], own["blob"], strict=True):
         sha = np.frombuffer(blob, np.uint8).reshape(-1, 32)
         prints = np.ascontiguousarray(sha[:, :8]).view(">u8").ravel().astype(np.uint64)
         distinct, place = np.unique(prints, return_inverse=True)
@@ -109,51 +115,59 @@ def _receive(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         sizes = np.unique(owners, return_counts=True)[1]
         bits = [np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(answers["blob"], sizes, strict=True)]
         flags = np.concatenate(bits).astype(bool)[place]
-        out.append(pd.DataFrame({"doc_id": pd.array(list(ids), "Int64"), "sha": [bytes(x) for x in sha], "suspect": flags, "rid": (src << 20) + np.arange(len(sha))}))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "sha": [], "suspect": [], "rid": []})
+        out.append(pd.DataFrame({"doc_id": pd.array(list(ids), "Int64"), "sha": [bytes(x) for x in sha], "suspect": flags, places.RID: rids, "tie": ties}))
+    return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "sha": [], "suspect": [], places.RID: [], "tie": []})
 
 
 def fingerprint(column: str):
     return F.unhex(F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"), 256))
 
 
-def suspects(df: DataFrame, docs_per_owner: int = 200_000) -> DataFrame:
-    """doc_id, sha, suspect, rid (a number of the row) of every row of (doc_id, text)."""
-    common.session(df)
-    owners = max(4, math.ceil(df.count() / docs_per_owner))
-    docs = df.select("doc_id", fingerprint("text").alias("sha"))
-    sent = common.materialise(docs.mapInArrow(_send(owners), "src long, owner int, blob binary, extra binary, ids array<long>"), "exchange")
+def suspects(docs: places.Numbered, text_col: str = "text", docs_per_owner: int = 200_000) -> DataFrame:
+    """doc_id, sha, suspect, row number and tie of every row of a numbered frame with the columns doc_id and tie."""
+    owners = max(4, math.ceil(docs.total / docs_per_owner))
+    printed = docs.rows.select("doc_id", fingerprint(text_col).alias("sha"), places.RID, "tie")
+    longs = "ids array<long>, rids array<long>, ties array<long>"
+    sent = common.materialise(printed.mapInArrow(_send(owners), f"src long, owner int, blob binary, extra binary, {longs}"), "exchange")
     answers = sent.where("owner >= 0").select("src", "owner", "blob", "extra").groupBy("owner").applyInPandas(_answer, "src long, owner int, blob binary")
-    own = sent.where("owner < 0").select("src", "ids", "blob", F.lit(owners).alias("owners"))
-    out = own.groupBy("src").cogroup(answers.groupBy("src")).applyInPandas(_receive, "doc_id long, sha binary, suspect boolean, rid long")
+    own = sent.where("owner < 0").select("src", "ids", "rids", "ties", "blob", F.lit(owners).alias("owners"))
+    out = own.groupBy("src").cogroup(answers.groupBy("src")).applyInPandas(_receive, f"doc_id long, sha binary, suspect boolean, {places.RID} long, tie long")
     kept = common.materialise(out, "suspects")
     common.discard(sent)
     return kept
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256, rid."""
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+def _decided(docs: places.Numbered) -> DataFrame:
+    """Per row of a numbered frame (doc_id, text, tie): doc_id, keep_id, group_size, kept, sha and the row's number."""
     marked = suspects(docs)
     some = marked.where("suspect")
-    classes = some.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "rid")).alias("keep"))
-    # a semi join keeps the rows of suspects; grouping by the whole text compares the bytes
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), fingerprint("text").alias("sha")).join(classes.select("sha"), "sha", "left_semi")
+    # the bitmaps decide at the reader which texts are moved; grouping by the whole text compares the bytes
+    texts = docs.within(some).select(F.coalesce("text", F.lit("")).alias("text"), fingerprint("text").alias("sha"))
     verified = texts.groupBy("sha", "text").agg(F.count(F.lit(1)).alias("rows")).groupBy("sha").agg(F.count(F.lit(1)).alias("texts"))
     stop = F.raise_error(F.lit("two texts share a SHA-256 fingerprint"))
-    classes = classes.join(verified, "sha").select("sha", "n", "keep", F.when(F.col("texts") == 1, F.lit(True)).otherwise(stop).alias("verified"))
-    classes = classes.where("verified")
-    out = marked.where("suspect").join(classes, "sha").select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("keep.rid")).alias("kept"), "sha", "rid")
-    alone = marked.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "rid")
-    return out.unionByName(alone).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "rid")
+    best = F.max(F.struct("doc_id", "tie", places.RID)).alias("keep")
+    classes = some.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), best).join(verified, "sha")
+    classes = common.materialise(classes.where(F.when(F.col("texts") == 1, F.lit(True)).otherwise(stop)).select("sha", "n", "keep"), "classes")
+    out = common.join_hot(some, classes, "sha", "n", docs.total)
+    out = out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col(places.RID) == F.col(f"keep.{places.RID}")).alias("kept"), "sha", places.RID)
+    alone = marked.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", places.RID)
+    return out.unionByName(alone)
+
 
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
+    common.session(df)
+    docs = places.Numbered(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), places.tie(df).alias("tie")), "texts")
+    return _decided(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each text left (the one with the largest doc_id), all columns kept.
 
-    Rows with a null doc_id stay only if their text has no row with one; then one of them does.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row of each text left (the one with the largest id), all columns kept.
+
+    Rows with a null id stay only if their text has no row with one; then one of them does.
     """
-    kept = dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumns({"_id0": docs["doc_id"].cast("long"), "_sha0": F.lower(F.hex(fingerprint("text")))})
-    joined = keyed.join(kept, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left_semi")
-    return joined.dropDuplicates(["_id0", "_sha0"]).drop("_id0", "_sha0")
+    common.session(df)
+    docs = places.Numbered(df, "documents")
+    at = docs.scan
+    texts = places.Numbered(at.select(at[id_col].cast("long").alias("doc_id"), at[text_col].cast("string").alias("text"), places.tie(at).alias("tie")))
+    return docs.within(_decided(texts).where("not kept"), keep=False).drop(places.RID)

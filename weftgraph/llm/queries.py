@@ -39,7 +39,7 @@ def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golomb_dedup.dedup(_documents(spark, sf_dir)).drop("rid")
+    return golomb_dedup.dedup(_documents(spark, sf_dir))
 
 
 def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
