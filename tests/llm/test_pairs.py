@@ -77,6 +77,30 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 4, 5, 6, 7} and circulant_minhash.keep_one(none).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Different texts with one id: links of either count; rows are dropped one by one, never by id."""
+    one, two = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    text = " ".join
+    rows = [(1, text(one)), (1, text(two)), (2, text([*one, "x"])), (3, text([*two, "y"])), (4, "quite another text of many words here")]
+    rows += [(4, "not at all like the other one with this id"), (None, text(["n", *one])), (None, "only null ids have this text at all"), (None, "only null ids have this text at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = circulant_minhash.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, 1), (None, None)}
+    assert sorted(r.kept for r in got if r.doc_id is None) == [False, False, True]
+    kept = [(r.doc_id, r.text) for r in circulant_minhash.keep_one(docs).collect()]
+    # ids 1 to 3 are one component through id 1, and the two texts of id 4 another
+    assert collections.Counter(d for d, _ in kept) == {1: 1, 4: 1, None: 1}
+
+
+def test_near_duplicates_around_a_hot_pivot(spark):
+    """A third of the rows are near copies of one text, more than a pivot's share: dealt over tasks, no link is lost."""
+    base = [f"b{i}" for i in range(200)]
+    rows = [(d, " ".join(base[: 1 + d % 199] + [f"x{d}"] + base[2 + d % 199 :])) for d in range(700)] + [(1000 + d, f"text number {d} of its own {d * d}") for d in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in circulant_minhash.near_duplicates(docs, words=3, percent=85, block=50).collect()}
+    assert all(c == (0 if d < 1000 else d) for d, c in got.items()) and len(got) == 1400
+
+
 def test_exact_dedup(documents, spark, sf):
     groups = collections.defaultdict(list)
     for r in documents.collect():

@@ -4,15 +4,16 @@ Signatures: a shingle's bin in a universe of D is moved by one permutation; coor
 its shingles of a second permutation read at (place + k) mod D. Two permutations thus make all coordinates, and a
 document's signature is the column-wise minimum of windows of one table.
 
-Links: documents with equal shingle sets form a class (one fingerprint); classes that share a band are candidates, and every
-link is confirmed on the full sets. To merge a bucket of n classes without its n*n pairs, (1) every class is checked against
+Links: documents with equal shingle sets form a class (one fingerprint), whose node is its least row number; classes that share
+a band are candidates, and every link is confirmed on the full sets. To merge a bucket of n classes without its n*n pairs, (1) every class is checked against
 the bucket's pivot, the class that shares most bands with others, (2) against the pivot of a random handful of the bucket,
-(3) classes still outside the bucket's main component are checked against all its others, in blocks. Nothing is capped: after
-(3) no two classes of different components share a band and reach the threshold.
+(3) classes still outside the bucket's main component are checked against all its others, in tiles of blocks of either. Nothing is
+capped: after (3) no two classes of different components share a band and reach the threshold. Only numbers and shingle sets of
+candidates are shuffled, never texts: those are read again by their rows' places.
 
 Defined cases: null, empty and word-less texts have no shingles and no links; a text with fewer words than `words` is one
-shingle; equal sets are one class; rows with the same id are one node; null ids get a stand-in from the text's hash; no rows
-give no rows; other columns are ignored.
+shingle; equal sets are one class; different texts with one id are linked through it; a component's id is its smallest, null if
+none of its rows has one; of such a component one row is kept; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, places
 
 UNIVERSE = 1 << 20
 COORDINATES = 192
-#: Ids from here on stand for null ids.
-NO_ID = 1 << 62
 
 
 def band_rows(percent: int, coordinates: int = COORDINATES, miss: float = 1e-6) -> int:
@@ -81,15 +80,10 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield np.unique(common.ngrams(found.hashes[lo:hi], words))
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = df[text_col].cast("string")
-    stand_in = F.lit((1 << 63) - 1) - F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2)
-    return df.select(F.coalesce(df[id_col].cast("long"), stand_in).alias("id"), text.alias("text"))
-
-
-def sketches(df: DataFrame, words: int, rows: int, coordinates: int = COORDINATES) -> DataFrame:
-    """id, n_shingles, print (of the whole set, null if empty), bands of every row of (id, text)."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def sketches(docs: DataFrame, words: int, rows: int, coordinates: int = COORDINATES) -> DataFrame:
+    """rid, id, tie, n_shingles, print (of the whole set, null if empty), bands of every numbered row of (id, text, tie)."""
+    longs = [(n, pa.int64()) for n in ("rid", "id", "tie", "n_shingles")]
+    schema = pa.schema([*longs, ("print", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -101,20 +95,20 @@ def sketches(df: DataFrame, words: int, rows: int, coordinates: int = COORDINATE
                 sizes.append(len(s))
                 prints.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(bands(ring.signature(s), rows) if len(s) else None)
-            yield common.output(schema, id=b.column("id"), n_shingles=sizes, print=prints, bands=keys)
+            yield common.output(schema, rid=b.column(places.RID), id=b.column("id"), tie=b.column("tie"), n_shingles=sizes, print=prints, bands=keys)
 
-    return df.mapInArrow(sketch, "id long, n_shingles long, print binary, bands array<long>")
+    return docs.mapInArrow(sketch, "rid long, id long, tie long, n_shingles long, print binary, bands array<long>")
 
 
-def sets(df: DataFrame, words: int) -> DataFrame:
-    """id and the sorted distinct shingle hashes, packed, of every row of (id, text)."""
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+def sets(docs: DataFrame, words: int) -> DataFrame:
+    """node (the row number) and the sorted distinct shingle hashes, packed, of every numbered row of (text)."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(it, "text"):
-            yield common.output(schema, id=b.column("id"), shingles=[s.tobytes() for s in shingle_sets(common.utf8(b.column("text")), words)])
+            yield common.output(schema, node=b.column(places.RID), shingles=[s.tobytes() for s in shingle_sets(common.utf8(b.column("text")), words)])
 
-    return df.mapInArrow(gather, "id long, shingles binary")
+    return docs.mapInArrow(gather, "node long, shingles binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -128,8 +122,11 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def confirm(pairs: DataFrame, full: DataFrame, percent: int, share: int = 256) -> DataFrame:
+    """The pairs (a: member, b: pivot) whose full sets reach the threshold.
+
+    A pivot of very many members is dealt over as many tasks as it has shares of them; there are at most 2,000 such pivots.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +135,16 @@ def confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             good = [alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(left, right, strict=True)]
             yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_())).cast(schema)
 
-    one = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
-    two = one.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-    return two.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    pairs = common.materialise(pairs, "pairs")
+    pivots = common.materialise(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "pivots")
+    least = max(share, -(-pairs.count() // 2000))
+    salts = F.ceil(F.col("n") / share).cast("int")
+    hot = F.broadcast(pivots.where(F.col("n") > least).select("b", salts.alias("salts")))
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a", F.lit(41)), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    sizes = pivots.select(F.col("b").alias("node"), F.when(F.col("n") > least, salts).otherwise(F.lit(1)).alias("salts"))
+    targets = full.join(sizes, "node").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("right"))
+    one = dealt.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+    return one.join(targets, ["b", "salt"]).select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,7 +174,7 @@ def _near(size: Column, other: Column, percent: int) -> Column:
 
 
 def _strays(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between a block's strays and its others of other components; rows: key, block, id, comp, stray, shingles."""
+    """Links between a tile's strays and its others of other components; rows: key, tile, node, comp, stray, shingles."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -213,64 +217,93 @@ def _strays(rows: DataFrame, percent: int) -> DataFrame:
         if found:
             yield common.output(schema, a=[x for x, _ in found], b=[y for _, y in found])
 
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "id", "comp", "stray", "shingles").mapInArrow(run, "a long, b long")
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").select("key", "tile", "node", "comp", "stray", "shingles").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, handful: int = 16, block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
-    common.session(df)
+def _linked(docs: places.Numbered, words: int, percent: int, handful: int, block: int, block_shingles: int) -> DataFrame:
+    """rid, id, n_shingles, component (its smallest id), keeper (the one row of each component that stays) of numbered rows (id, text, tie)."""
     rows = band_rows(percent)
-    docs = _keyed(df, id_col, text_col)
-    sketched = common.materialise(sketches(docs, words, rows), "sketches")
-    classes = sketched.where("print is not null").groupBy("print").agg(F.min("id").alias("node"))
-    nodes = sketched.join(classes, (sketched["print"] == classes["print"]) & (sketched["id"] == classes["node"])).select("node", "n_shingles", "bands").dropDuplicates(["node"])
+    sketched = common.materialise(sketches(docs.rows, words, rows), "sketches")
+    has_set = sketched.where("print is not null")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie", "rid")).alias("first")
+    classes = common.materialise(has_set.groupBy("print").agg(F.min("rid").alias("node"), first, F.count(F.lit(1)).alias("n")), "classes")
+    nodes = has_set.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "n_shingles", "bands")
     spread = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = common.materialise(spread.join(buckets, "key").select("key", "n", "node", F.col("n_shingles").alias("size")), "members")
     weights = common.materialise(members.groupBy("node").agg(F.sum(F.log2("n")).alias("weight")), "candidates")
-
-    wanted = docs.join(weights.select(F.col("node").alias("id")), "id", "left_semi")
-    full = common.materialise(sets(wanted, words), "sets")
+    full = common.materialise(sets(docs.within(weights.select(F.col("node").alias(places.RID))), words), "sets")
 
     def stars(group: DataFrame, by: list[str], rank: Column) -> DataFrame:
         """Each member with its group's pivot, whose rank is the greatest."""
         ranked = group.withColumn("rank", F.struct(rank.alias("r"), F.col("node"), F.col("size")))
         pivots = ranked.groupBy(*by).agg(F.max("rank").alias("p"))
         pairs = group.join(pivots, by).where(F.col("node") != F.col("p.node")).where(_near(F.col("size"), F.col("p.size"), percent))
-        return pairs.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct()
+        return pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+
+    def merged(more: DataFrame, comps: DataFrame) -> DataFrame:
+        """The components with more links; known ones count as a star each."""
+        return common.materialise(components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "comps")
 
-    edges = common.materialise(confirm(stars(members.join(weights, "node"), ["key"], F.col("weight")), full, percent), "edges")
-    comps = components(edges)
+    # different texts with one id are linked through it
+    ids = has_set.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("p"), F.max("print").alias("q")).where("p <> q")
+    ids = common.materialise(ids.join(classes.select(F.col("print").alias("p"), F.col("node").alias("b")), "p").select("id", "n", "b"), "ids")
+    again = common.join_hot(has_set.where("id is not null").select("id", "print"), ids, "id", "n", docs.total).select("print", "b").distinct()
+    same_id = again.join(classes.select("print", F.col("node").alias("a")), "print").select("a", "b")
+
+    edges = confirm(stars(members.join(weights, "node"), ["key"], F.col("weight")), full, percent)
+    comps = common.materialise(components(edges.unionByName(same_id)), "comps")
 
     def open_buckets() -> DataFrame:
         """Members of buckets of three or more with more than one component; stray: not of the bucket's largest one."""
         placed = members.where("n > 2").join(comps, "node", "left").select("key", "n", "node", "size", F.coalesce("comp", "node").alias("comp"))
-        each = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        some = each.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp")).alias("main")).where("k > 1")
-        return placed.join(some, "key").select("key", "n", "node", "size", "comp", (F.col("comp") != F.col("main.comp")).alias("stray"))
+        each = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+        some = each.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("s").alias("all"), F.max(F.struct("c", "comp", "s")).alias("main")).where("k > 1")
+        return placed.join(some, "key").select("key", "n", "node", "size", "comp", (F.col("comp") != F.col("main.comp")).alias("stray"), "all", "main")
 
     open_ = open_buckets().withColumn("part", F.pmod(F.xxhash64("node", F.lit(23)), F.ceil(F.col("n") / handful)))
-    more = confirm(stars(open_, ["key", "part"], F.xxhash64("node", F.lit(29))), full, percent)
-    edges = common.materialise(edges.unionByName(more), "edges")
-    comps = components(edges)
-
-    open_ = common.materialise(open_buckets().withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "open")
-    others = open_.select("key", F.pmod(F.xxhash64("node", F.lit(31)), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("id"), "comp", F.lit(False).alias("stray"))
-    strays = open_.where("stray").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("id"), "comp", F.lit(True).alias("stray"))
-    late = _strays(others.unionByName(strays).join(full, "id"), percent)
-    comps = components(edges.unionByName(late))
-
-    named = sketched.select("id", "n_shingles", "print").join(classes, "print", "left").withColumn("node", F.coalesce("node", "id"))
-    out = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), "n_shingles", real("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one row of each near-duplicate group left (the one with the smallest doc_id), all columns kept."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_of")).distinct()
-    keyed = docs.withColumns({"_id": docs["doc_id"].cast("long")})
-    joined = keyed.where("_id is not null").join(kept.where("_of is not null"), F.col("_id") == F.col("_of"), "left_semi").dropDuplicates(["_id"])
-    # rows without an id can't be told apart by one: those whose text no kept row has stay, one of each text
-    rest = keyed.where("_id is null").dropDuplicates(["text"])
-    return joined.unionByName(rest).select(*docs.columns)
+    comps = merged(confirm(stars(open_, ["key", "part"], F.xxhash64("node", F.lit(29))), full, percent), comps)
+
+    # tiles: blocks of a bucket's strays by blocks of all its members, each of a bounded number of classes and, on average, shingles
+    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / block_shingles)).cast("int")
+    open_ = open_buckets().withColumns({"across": blocks(F.col("n"), F.col("all")), "down": blocks(F.col("n") - F.col("main.c"), F.col("all") - F.col("main.s"))})
+    open_ = common.materialise(open_.drop("all", "main"), "open")
+    column, row = F.pmod(F.xxhash64("node", F.lit(31)), F.col("across")), F.pmod(F.xxhash64("node", F.lit(37)), F.col("down"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = open_.select("key", every("down").alias("r"), column.alias("c"), "across", "node", "comp", F.lit(False).alias("stray"))
+    strays = open_.where("stray").select("key", row.alias("r"), every("across").alias("c"), "across", "node", "comp", F.lit(True).alias("stray"))
+    tiles = others.unionByName(strays).select("key", (F.col("r").cast("long") * F.col("across") + F.col("c")).alias("tile"), "node", "comp", "stray")
+    comps = merged(_strays(tiles.join(full, "node"), percent), comps)
+
+    # per component, then per class, its smallest id and the row that stays; rows alone in their class and component need no join
+    linked = classes.join(comps, "node").select("print", "comp", "first", "n")
+    named = common.materialise(linked.groupBy("comp").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("k")), "named")
+    linked = common.join_hot(linked.select("print", "comp", "n"), named, "comp", "k", docs.total).select("print", "first", "n")
+    whole = classes.where("n > 1").select("print", "first", "n").join(comps.join(classes, "node").select("print"), "print", "left_anti")
+    special = common.materialise(linked.unionByName(whole), "special")
+    out = common.join_hot(has_set.select("rid", "id", "n_shingles", "print"), special, "print", "n", docs.total, "left")
+    out = out.select("rid", "id", "n_shingles", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component"), F.coalesce(F.col("rid") == F.col("first.rid"), F.lit(True)).alias("keeper"))
+    return out.unionByName(sketched.where("print is null").select("rid", "id", "n_shingles", F.col("id").alias("component"), F.lit(True).alias("keeper")))
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"), places.tie(df).alias("tie"))
+
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, handful: int = 16, block: int = 1000, block_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept (doc_id = component_id; of rows without any id, one of each component)."""
+    common.session(df)
+    out = _linked(places.Numbered(_texts(df, id_col, text_col), "texts"), words, percent, handful, block, block_shingles)
+    kept = F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull() & F.col("keeper"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def keep_one(df: DataFrame, words: int = 5, percent: int = 80, handful: int = 16, block: int = 1000, block_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row of each component left (the smallest id's; of its rows the one whose other columns hash lowest).
+
+    Documents without shingles all stay. All columns are kept; rows are dropped where they are read.
+    """
+    common.session(df)
+    docs = places.Numbered(df, "documents")
+    out = _linked(places.Numbered(_texts(docs.scan, id_col, text_col)), words, percent, handful, block, block_shingles)
+    return docs.within(out.where("not keeper").select(F.col("rid").alias(places.RID)), keep=False).drop(places.RID)
