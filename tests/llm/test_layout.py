@@ -229,26 +229,8 @@ def test_sharding_of_odd_rows(odd, none):
     assert balanced_sharding.shard(none).count() == 0
 
 
-def test_pipeline_stages(spark, sf, documents):
-    import corpus_pipeline
-
-    docs, seen = documents, []
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf)
-        if name != "packing":
-            assert out.columns == documents.columns
-            out = out.cache()
-            seen.append(out.count())
-        docs = out
-    assert docs.columns[:3] == ["doc_id", "start", "length"] and docs.count() > 0
-    assert seen[0] >= seen[1] >= seen[2] > 0
-
-
-def test_pipeline_on_odd_rows(spark, sf, odd, none):
-    import corpus_pipeline
-
-    for docs in (odd, none):
-        for name, stage in corpus_pipeline.STAGES[1:]:
-            out = stage(spark, docs, sf)
-            assert name == "packing" or out.columns == docs.columns
-            out.count()
+def test_packing_of_copies_without_ids(spark):
+    """Copies of one row without an id are dealt over groups, not gathered in one."""
+    docs = spark.createDataFrame([(None, "the same few words")] * 20000, "doc_id long, text string").repartition(2)
+    rows = ffd_packing.pack(docs, WORD, group_docs=1000).collect()
+    assert len(rows) == 20000 and len({r.sequence_id >> 32 for r in rows}) > 2

@@ -106,3 +106,41 @@ def test_language_of_many(spark):
     model = subword_langid.fit(df)
     assert list(model.langs) == names
     assert "l000" in {r.lang_pred for r in subword_langid.predict(df.where("lang = 'l000'"), model).collect()}
+
+
+def buckets(text):
+    """The subwords of a text by the book: runs of 2 to 4 bytes that have white space at one end only, or of two bytes at both."""
+    b = b"".join(bytes([c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c]) for c in text)
+    while b"  " in b:
+        b = b.replace(b"  ", b" ")
+    b = b" " + b + b" "
+    for n in (2, 3, 4):
+        for i in range(len(b) - n + 1):
+            x = b[i : i + n]
+            if 32 in x[1:-1] or (n > 2 and x[0] == x[-1] == 32):
+                continue
+            h = n
+            for c in x:
+                h = (h * 0x100000001B3 + c + 1) % 2**64
+            for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ h >> shift) * times % 2**64
+            yield (h ^ h >> 31) >> 49
+
+
+def test_language_scores_against_brute_force(documents):
+    model = subword_langid.fit(documents)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in subword_langid.predict(documents, model).collect()[:40]:
+        text = (texts[r.doc_id] or "").encode()
+        if r.lang_pred == "und" or len(text) > 20000:
+            continue
+        at = list(buckets(text))
+        z = [sum(float(model.logits[a][k]) for a in at) / len(at) + float(model.bias[k]) for k in range(len(model.langs))]
+        p = [math.exp((x - max(z)) / model.temperature) for x in z]
+        best = max(range(len(p)), key=lambda k: p[k])
+        assert r.lang_pred == model.langs[best] and abs(r.score - p[best] / sum(p)) < 1e-4
+
+
+def test_quality_ignores_contradicting_labels(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (10, 0), (12, 1), (13, 1)], "doc_id long, quality int")
+    assert sorted(knn_quality.fit(odd, labels).labels.tolist()) == [0.0, 1.0, 1.0]

@@ -176,6 +176,13 @@ def test_words(texts):
     assert [seen[x] for x in flat] == found.hashes.tolist() and len(set(seen.values())) == len(seen)
 
 
+def test_words_in_windows(monkeypatch):
+    texts = pa.array([b"a bc def " * 50, b"x" * 300 + b" y", b""], pa.large_binary())
+    whole = common.Words(texts).hashes
+    monkeypatch.setattr(common, "WINDOW", 7)
+    assert (common.Words(texts).hashes == whole).all()
+
+
 def test_spotsigs_query(documents, spark, sf):
     rows = {r.doc_id: r.text or "" for r in documents.collect()}
     got = {r.doc_id: r for r in queries.op1_spotsigs(spark, sf).collect()}
@@ -188,6 +195,45 @@ def test_spotsigs_query(documents, spark, sf):
         assert 0 <= got[d].near_edited <= 1 and (got[d].near_next == 1) == (got[d].fingerprint == got[ids[(i + 1) % len(ids)]].fingerprint)
 
 
+def spots(text):
+    """SpotSigs by the book: an anchor and the next two content words; runs of two where there are none."""
+    w = [x[:-1] if len(x) > 1 and x[-1:] in spotsigs_marks else x for x in words(text)]
+    anchors = {a.encode() for a in spotsigs.ANCHORS}
+    out, content = set(), [x for x in w if x not in anchors]
+    for i, x in enumerate(w):
+        after = [y for y in w[i + 1 :] if y not in anchors][:2]
+        if x in anchors and len(after) == 2:
+            out.add((x, *after))
+    run = content or w
+    return out or {tuple(run[i : i + 2]) for i in range(max(1, len(run) - 1)) if run}
+
+
+spotsigs_marks = {bytes([c]) for c in range(33, 128) if not chr(c).isalnum()}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_spotsigs_against_brute_force(documents, spark, sf):
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    got = {r.doc_id: r for r in queries.op1_spotsigs(spark, sf).collect()}
+    ids = sorted(texts, reverse=True)
+    for i, d in enumerate(ids):
+        text, after = texts[d], texts[ids[(i + 1) % len(ids)]]
+        cut = len(text) // 3
+        mine, r = spots(text), got[d]
+        assert r.n_signatures == len(mine)
+        assert abs(r.near_next - jaccard(mine, spots(after))) < 1e-9
+        assert abs(r.near_edited - jaccard(mine, spots(text[: len(text) - cut] + after[:cut]))) < 1e-9
+
+
+def test_likeness_stops_early():
+    a, b = np.arange(0, 20000, dtype=np.uint64), np.arange(5000, 25000, dtype=np.uint64)
+    assert spotsigs.likeness(a, b) == spotsigs.likeness(a, b, 0.5) == 0.6 and spotsigs.likeness(a, b, 0.7) == 0.0
+    assert spotsigs.likeness(a, b[:10], 0.5) == 0.0
+
+
 def test_spotsigs_signatures_are_chains_after_anchors():
     spots = spotsigs.Spots()
     one, two, three = spots.sets(pa.array([b"the quick dog and a big cat", b"the quick dog, and A big cat", b""], pa.large_binary()))

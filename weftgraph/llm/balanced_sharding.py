@@ -59,10 +59,10 @@ def shard(df: DataFrame, shards: int = 40, block_rows: int = 20_000, id_col: str
     total = docs.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     most, fit = max(1, quota[0]), max(1, total // shards // 4)
-    groups = docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = common.materialise(docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     unit = F.xxhash64("key", F.pmod(F.xxhash64("rid"), F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") / fit))))
     start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int")
-    linked = common.materialise(docs.join(groups, "key").select("rid", unit.alias("unit"), start.alias("shard")), "linked")
+    linked = common.materialise(common.join_hot(docs, groups, "key", "n", total).select("rid", unit.alias("unit"), start.alias("shard")), "linked")
     votes = linked.groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("c")).groupBy("unit")
     left = common.materialise(votes.agg(F.sum("c").alias("n"), F.collect_list(F.struct("c", "shard")).alias("votes")), "left")
     units = left.count()

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a text that are hashed at once (some 40 bytes of memory each).
+WINDOW = 4 << 20
 #: Rows of one Arrow batch sent to Python; texts can be long, so batches stay small.
 BATCH_ROWS = 1000
 
@@ -24,12 +26,14 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder all executors share (spark.checkpoint.dir). Only a local session that names none gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = got.get() if got.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -173,10 +177,17 @@ class Words:
         stops = ink.copy()
         stops[:-1] &= ~ink[1:] | edge[1:-1]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER_BYTE if lower else _BYTE)[data] * up[: len(data)], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        table, parts, i = _LOWER_BYTE if lower else _BYTE, [np.zeros(0, np.uint64)], 0
+        while i < len(self.starts):  # a very long text is hashed in windows of whole words
+            lo = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, lo + WINDOW, "right")))
+            s, e, part = self.starts[i:j] - lo, self.ends[i:j] - lo, data[lo : int(self.ends[j - 1])]
+            up, down = _powers(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(table[part] * up[: len(part)], out=sums[1:])
+            parts.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+            i = j
+        self.hashes = np.concatenate(parts)
         self.first = np.searchsorted(self.starts, offsets)
         self.data, self.offsets = data, offsets
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, places
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -142,12 +142,16 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it. Rows with no words are taken as often as their source's whole number says."""
-    from pyspark.sql.window import Window
+def mixed(df: DataFrame, cap: float = 2.0, **options) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it. Rows with no words are taken as often as their source's whole number says.
 
-    order = Window.partitionBy("_id").orderBy(F.col("source"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    keyed = docs.withColumn("_id", docs["doc_id"].cast("long")).withColumn("_nth", F.row_number().over(order))
-    plan = mix(keyed.select("doc_id", "text", "source", "_nth"), carry=("_nth",), **options).where("copies > 0").select(F.col("doc_id").alias("_of"), F.col("_nth").alias("_at"), "copies")
-    joined = keyed.join(plan, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_nth") == F.col("_at")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    Only sizes are shuffled: what the mix takes is read again by its rows' numbers, once for each number of copies up to the cap.
+    """
+    common.session(df)
+    docs = places.Numbered(df, "documents")
+    sized = docs.rows.select("doc_id", "text", "source", places.RID)
+    plan = common.materialise(mix(sized, cap=cap, carry=(places.RID,), **options).select(places.RID, "copies"), "plan")
+    out = docs.within(plan.where("copies >= 1"))
+    for n in range(2, math.ceil(cap) + 1):
+        out = out.unionByName(docs.within(plan.where(F.col("copies") >= n)))
+    return out.drop(places.RID)

@@ -1,8 +1,9 @@
 """Packing (operator 4): first-fit decreasing over a tournament tree of bin capacities, in randomised groups of documents.
 
 Only lengths are packed: a pass over the texts tokenises each document, cuts it into pieces of at most `capacity` ids and
-keeps a checksum of each, so no token crosses the network. Documents are dealt by a seeded hash into groups of about
-`group_docs`; each group is packed alone, so packing is one small shuffle of (id, start, length) rows at any size.
+keeps a checksum of each, so no token crosses the network. Pieces are dealt by a seeded hash of their id, place, checksum and the
+thousand of their task's rows they are among (so that neither null ids nor copies meet in one group) into groups of about
+`group_docs` documents; each group is packed alone, so packing is one small shuffle of (id, start, length) rows at any size.
 
 Defined cases: null or empty text is one piece of the end id alone; a text of any length is cut; ties in length go by id,
 then start; repeated rows are packed once for each row; no rows give no rows; other columns are ignored.
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from . import common
 from .tokens import Encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Rows of one task that copies of a piece may share a group with.
+DEAL = 1000
 
 
 class CapacityTree:
@@ -63,22 +67,24 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
+    """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, deal (the thousand of the task's rows)."""
     common.session(df)
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "deal"))])
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        task, row = TaskContext.get().partitionId() << 32, 0
         for b in common.batches(it, "text"):
             out: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), common.utf8(b.column("text")).to_pylist(), strict=True):
                 ids = encoder.encode(text) + end
                 n = len(ids) // 4
-                out += [(doc, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
+                out += [(doc, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n, task + row // DEAL) for at in range(0, n, capacity)]
+                row += 1
             if out:
                 yield common.output(schema, **{f.name: list(c) for f, c in zip(schema, zip(*out, strict=True), strict=True)})
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(cut, PIECES + ", deal long")
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_docs: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,6 +96,6 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, g
         p = p.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="first")
         bins, offsets = first_fit_decreasing(p["length"].to_numpy(), capacity)
         p["sequence_id"], p["offset"] = (int(p["grp"].iloc[0]) << 32) + bins, offsets
-        return p.drop(columns="grp")
+        return p.drop(columns=["grp", "deal"])
 
-    return cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups))).groupBy("grp").applyInPandas(fill, PIECES + ", sequence_id long, offset long")
+    return cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "deal", F.lit(seed)), F.lit(groups))).groupBy("grp").applyInPandas(fill, PIECES + ", sequence_id long, offset long")

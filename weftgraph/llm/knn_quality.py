@@ -8,7 +8,8 @@ blocks; its nearest `neighbours` vote with their similarity to a power, and each
 labelled rows (the sample takes as many of a rare class as of a common one).
 
 Defined cases: null, empty and word-less texts have only the mark "empty" and are scored like any other; rows with labels
-that aren't 0 or 1, or without a document, teach nothing; with no labelled rows every score is 0.5; ties among neighbours
+that aren't 0 or 1, with labels that contradict each other, or without a document, teach nothing; of repeated documents with one
+id the first by hash of the text teaches; with no labelled rows every score is 0.5; ties among neighbours
 go by sample order; repeated rows score alike; no rows give no rows; other columns are ignored.
 """
 
@@ -120,21 +121,27 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 2000, rank: int = 64, neighbours: int = 15, power: float = 16.0) -> Model:
     """Learn from (doc_id, text) and labels (doc_id, quality): at most `most_labelled` documents of each class, chosen by hash."""
     common.session(docs)
-    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").dropDuplicates(["doc_id"])
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     picks = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled) for q in (0, 1)]
     chosen = picks[0].unionByName(picks[1])  # bounded: broadcast below
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # one text an id, so that what reaches the driver is bounded by the labels
+    first = texts.groupBy("doc_id").agg(F.min(F.xxhash64(F.coalesce("text", F.lit("")))).alias("h"))
+    texts = texts.join(F.broadcast(first), "doc_id").where(F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("h")).drop("h")
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("counts", pa.binary())])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(it, "text"):
-            rows = np.minimum(features(common.utf8(b.column("text"))), 60000).astype(np.float16)
+            rows = features(common.utf8(b.column("text")))
             yield common.output(schema, doc_id=b.column("doc_id"), quality=b.column("quality"), counts=[r.tobytes() for r in rows])
 
     rows = texts.mapInArrow(count, "doc_id long, quality int, counts binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+    seen = rows["doc_id"].to_numpy()
+    rows = rows.filter(pa.array(np.diff(seen, prepend=seen[:1] - 1) != 0)) if len(seen) else rows
+    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
     return Model(counts, rows["quality"].to_numpy().astype(np.float64), (sizes.get(0, 0), sizes.get(1, 0)), rank, neighbours, power)
 
 

@@ -95,14 +95,20 @@ def show(signatures: np.ndarray) -> str:
     return f"{len(signatures)}-{hashlib.blake2b(signatures.tobytes(), digest_size=16).hexdigest()}"
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones. Where it can't reach `least`, 0 as soon as that is certain."""
     few, many = (a, b) if len(a) <= len(b) else (b, a)
     if not len(few):
         return float(len(many) == 0)
-    at = np.searchsorted(many, few)
-    at[at == len(many)] = 0
-    both = int((many[at] == few).sum())
+    need = least / (1 + least) * (len(a) + len(b)) - 1e-9
+    both = 0
+    for i in range(0, len(few), 4096):
+        if both + len(few) - i < need:  # the sizes alone at first, then what is left of the smaller set
+            return 0.0
+        part = few[i : i + 4096]
+        at = np.searchsorted(many, part)
+        at[at == len(many)] = 0
+        both += int((many[at] == part).sum())
     return both / (len(a) + len(b) - both)
 
 
@@ -142,7 +148,7 @@ def similar(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in it:
-            got = [likeness(np.array(p, np.int64).view(np.uint64), np.array(q, np.int64).view(np.uint64)) for p, q in zip(x.column("p").to_pylist(), x.column("q").to_pylist(), strict=True)]
+            got = [likeness(np.array(p, np.int64).view(np.uint64), np.array(q, np.int64).view(np.uint64), threshold) for p, q in zip(x.column("p").to_pylist(), x.column("q").to_pylist(), strict=True)]
             yield common.output(schema, a=x.column("a"), b=x.column("b"), similarity=got)
 
     p, q = one.select(F.col("fingerprint").alias("a"), F.col("s").alias("p")), one.select(F.col("fingerprint").alias("b"), F.col("s").alias("q"))

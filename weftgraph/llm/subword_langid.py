@@ -2,8 +2,8 @@
 
 Subwords are runs of 2 to 4 bytes of the lower-cased text, words bounded by one space, hashed into buckets; a text is the
 average of its subwords' embeddings. Training draws a bounded, documented sample of labelled rows (`most_rows` a language,
-by hash), whole and in crops, and minimises the softmax loss by mini-batch SGD; a part set aside sets the temperature that
-calibrates scores, and the score under which a prediction is marked `rejected`.
+by hash), whole and in crops, and minimises the softmax loss by mini-batch SGD; documents set aside, of which no crop is taught, set
+the temperature that calibrates scores, and the score under which a prediction is marked `rejected`.
 
 Since the model is linear, embeddings times weights fold into one table of bucket logits: scoring is a gather and a mean.
 Defined cases: null texts and texts without a letter are `und` with score 0; without training rows all are `und`; ties go
@@ -81,12 +81,13 @@ class Model:
         return names, scores
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str], dimension: int = 16, epochs: int = 12, rate: float = 20.0, batch: int = 64, seed: int = 5) -> Model:
-    """SGD over (distinct buckets, counts) rows; every fifth row sets temperature and rejection."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str], groups: np.ndarray | None = None, dimension: int = 16, epochs: int = 12, rate: float = 20.0, batch: int = 64, seed: int = 5) -> Model:
+    """SGD over (distinct buckets, counts) rows; every fifth document (groups: the rows' documents) sets temperature and rejection."""
     rng = np.random.default_rng(seed)
     k = len(langs)
     table, weights, bias = rng.normal(0, 1 / dimension, (BUCKETS, dimension)), np.zeros((dimension, k)), np.zeros(k)
-    aside = np.arange(len(rows)) % 5 == 4 if len(rows) >= 20 else np.zeros(len(rows), bool)
+    groups = np.arange(len(rows)) if groups is None else groups
+    aside = groups % 5 == 4 if len(rows) >= 20 else np.zeros(len(rows), bool)
     learn = np.flatnonzero(~aside)
     share = [c / c.sum() if len(c) else c.astype(float) for _, c in rows]
     weights[:] = rng.normal(0, 0.1, weights.shape)
@@ -156,7 +157,10 @@ def fit(docs: DataFrame, most_rows: int = 1000, **options) -> Model:
     rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(count, "doc_id long, lang string, at array<int>, n array<int>").toArrow()
     table = sorted(zip(rows["doc_id"].to_pylist(), rows["lang"].to_pylist(), rows["at"].to_numpy(), rows["n"].to_numpy(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], -len(r[2])))
     index = {s: i for i, s in enumerate(langs)}
-    return train([(np.asarray(r[2]), np.asarray(r[3])) for r in table], np.array([index[r[1]] for r in table], np.int64), langs, **options)
+    # the documents of each language are numbered apart, so that the part set aside has a fifth of each
+    numbers: dict[str, dict] = {}
+    groups = np.array([numbers.setdefault(r[1], {}).setdefault(r[0], len(numbers[r[1]])) for r in table], np.int64)
+    return train([(np.asarray(r[2]), np.asarray(r[3])) for r in table], np.array([index[r[1]] for r in table], np.int64), langs, groups, **options)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
