@@ -81,3 +81,82 @@ def equal(a: Column, b: Column) -> Column:
     one, zero = F.lit(1.0), F.lit(0.0)
     point = (a["lb"] == a["ub"]) & (b["lb"] == b["ub"]) & (a["lb"] == b["lb"])
     return _both(a, b, F.when(point, interval(one, one)).when((a["ub"] < b["lb"]) | (b["ub"] < a["lb"]), interval(zero, zero)).otherwise(interval(zero, one)))
+
+
+def _verdict(sure: Column, never: Column) -> Column:
+    one, zero = F.lit(1.0), F.lit(0.0)
+    return F.when(sure, interval(one, one)).when(never, interval(zero, zero)).otherwise(interval(zero, one))
+
+
+def greater(a: Column, b: Column) -> Column:
+    return _both(a, b, _verdict(a["lb"] > b["ub"], a["ub"] <= b["lb"]))
+
+
+def at_least(a: Column, b: Column) -> Column:
+    return _both(a, b, _verdict(a["lb"] >= b["ub"], a["ub"] < b["lb"]))
+
+
+def at_most(a: Column, b: Column) -> Column:
+    return _both(a, b, _verdict(a["ub"] <= b["lb"], a["lb"] > b["ub"]))
+
+
+def unequal(a: Column, b: Column) -> Column:
+    point = (a["lb"] == a["ub"]) & (b["lb"] == b["ub"]) & (a["lb"] == b["lb"])
+    return _both(a, b, _verdict((a["ub"] < b["lb"]) | (b["ub"] < a["lb"]), point))
+
+
+def _point(a: Column, b: Column) -> Column:
+    return (a["lb"] == a["ub"]) & (b["lb"] == b["ub"])
+
+
+def remainder(a: Column, b: Column) -> Column:
+    """Of whole numbers, with the sign of the dividend; any value if the divisor may be 0."""
+    most = F.greatest(F.abs(b["lb"]), F.abs(b["ub"])) - 1
+    sure = interval(F.when(a["lb"] >= 0, 0.0).otherwise(-F.least(-a["lb"], most)), F.when(a["ub"] <= 0, 0.0).otherwise(F.least(a["ub"], most)))
+    exact = interval(a["lb"] % b["lb"], a["lb"] % b["lb"])
+    return _both(a, b, F.when((b["lb"] <= 0) & (b["ub"] >= 0), top()).when(_point(a, b), exact).otherwise(sure))
+
+
+def _shiftable(b: Column) -> Column:
+    return (b["lb"] >= 0) & (b["ub"] <= 63)
+
+
+def shift_left(a: Column, b: Column) -> Column:
+    """Any value if the shift may be negative or above 63."""
+    powers = F.struct(F.pow(F.lit(2.0), b["lb"]).alias("lb"), F.pow(F.lit(2.0), b["ub"]).alias("ub"))
+    return _both(a, b, F.when(_shiftable(b), multiply(a, powers)).otherwise(top()))
+
+
+def shift_right(a: Column, b: Column) -> Column:
+    """Arithmetic; logical shifts follow the same rule."""
+    ends = [F.floor(a[p] / F.pow(F.lit(2.0), b[q])).cast("double") for p in ("lb", "ub") for q in ("lb", "ub")]
+    return _both(a, b, F.when(_shiftable(b), interval(F.least(*ends), F.greatest(*ends))).otherwise(top()))
+
+
+def _ones(x: Column) -> Column:
+    """The largest number with as many binary digits."""
+    return F.when(x <= 0, 0.0).when(x == INF, INF).otherwise(F.pow(F.lit(2.0), F.length(F.bin(x.cast("long")))) - 1)
+
+
+def _bitwise(a: Column, b: Column, name: str, natural: Column) -> Column:
+    exact = getattr(a["lb"].cast("long"), name)(b["lb"].cast("long"))
+    return _both(a, b, F.when(_point(a, b), interval(exact, exact)).when((a["lb"] >= 0) & (b["lb"] >= 0), natural).otherwise(top()))
+
+
+def bit_and(a: Column, b: Column) -> Column:
+    one_sign = F.when(a["lb"] >= 0, interval(F.lit(0.0), a["ub"])).when(b["lb"] >= 0, interval(F.lit(0.0), b["ub"])).otherwise(top())
+    both = interval(F.lit(0.0), F.least(a["ub"], b["ub"]))
+    return F.when((a["lb"] < 0) != (b["lb"] < 0), F.when(_point(a, b), _bitwise(a, b, "bitwiseAND", both)).otherwise(_both(a, b, one_sign))).otherwise(_bitwise(a, b, "bitwiseAND", both))
+
+
+def bit_or(a: Column, b: Column) -> Column:
+    return _bitwise(a, b, "bitwiseOR", interval(F.greatest(a["lb"], b["lb"]), _ones(F.greatest(a["ub"], b["ub"]))))
+
+
+def bit_xor(a: Column, b: Column) -> Column:
+    return _bitwise(a, b, "bitwiseXOR", interval(F.lit(0.0), _ones(F.greatest(a["ub"], b["ub"]))))
+
+
+def same(a: Column, b: Column) -> Column:
+    """Whether two values are equal, bottom to bottom too."""
+    return F.coalesce((a["lb"] == b["lb"]) & (a["ub"] == b["ub"]), a.isNull() & b.isNull())

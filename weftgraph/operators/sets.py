@@ -110,3 +110,17 @@ def annotations(stmt: DataFrame, pts: DataFrame, region: DataFrame) -> DataFrame
     writes = stmt.where("kind = 'store'").select("fun", "src", "dst", F.col("dst").alias("var"), F.lit("chi").alias("annotation"))
     sites = reads.unionByName(writes).join(pts, "var").join(region, "obj").select("fun", "annotation", "region", "src", "dst").distinct()
     return sites.groupBy("fun", "annotation", "region").agg(F.count(F.lit(1)).alias("n_sites"))
+
+
+def superset_regions(members: DataFrame) -> DataFrame:
+    """(fun, set_id, region): sets (fun, set_id, obj) that are equal are one, named by the least; each is in the region of the largest
+    set of its function that contains it (ties: the least name).
+
+    Containment is counted over common members, so only sets that share an object of one function are paired.
+    """
+    named = members.distinct().groupBy("fun", "set_id").agg(F.sort_array(F.collect_list("obj")).alias("objs"))
+    one = table(named.groupBy("fun", "objs").agg(F.min("set_id").alias("set_id")).select("fun", "set_id", "objs", F.size("objs").alias("n")))
+    flat = one.select("fun", "set_id", "n", F.explode("objs").alias("obj"))
+    other = flat.select("fun", "obj", F.col("set_id").alias("region"), F.col("n").alias("m")).alias("o")
+    common = flat.join(other, ["fun", "obj"]).where("m >= n").groupBy("fun", "set_id", "region", "n", "m").agg(F.count(F.lit(1)).alias("c")).where("c = n")
+    return common.groupBy("fun", "set_id").agg(F.min(F.struct(-F.col("m"), F.col("region"))).alias("best")).select("fun", "set_id", F.col("best.region").alias("region"))
