@@ -113,7 +113,7 @@ def test_races_equal_brute_force(spark):
 
 def test_lattice_of_the_whole_table(spark):
     lines = duckdb.sql(f"select l_suppkey, l_returnflag, l_quantity from '{SF}/lineitem.parquet'").fetchall()
-    made = {r["supp"]: r for r in registry.QUERIES["interval_lattice_whole"](spark, SF).collect()}
+    made = {r["supp"]: r for r in registry.QUERIES["interval_lattice"](spark, SF).collect()}
     for supp, r in made.items():
         x, y = ([q for s, f, q in lines if s == supp and f == flag] for flag in "AN")
         assert (r["join_lb"], r["join_ub"]) == (min(x + y), max(x + y))
@@ -121,7 +121,7 @@ def test_lattice_of_the_whole_table(spark):
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
     cols = sorted(next(iter(made.values())).asDict())
-    want = con.sql(f"select {', '.join(cols)} from ({registry.ORACLE_SQL['interval_lattice_whole']})").fetchall()
+    want = con.sql(f"select {', '.join(cols)} from ({registry.ORACLE_SQL['interval_lattice']})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in cols)) for r in made.values())
 
 

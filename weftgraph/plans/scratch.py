@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir. Only a local session that names none gets a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = got.get() if got.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(path)
     return path
