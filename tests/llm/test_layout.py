@@ -208,6 +208,22 @@ def test_sharding_of_a_group_that_is_too_large(spark):
     check_shards(rows, [(r.doc_id, r.text) for r in docs.collect()], 10)
 
 
+def test_sharding_gathers_groups_that_are_too_large(spark):
+    """Units of a group of three shards and a half, and of one of one and a half, move to their neighbours' shards."""
+    texts = ["large"] * 1400 + ["larger than one"] * 600 + ["whole"] * 300 + [f"t{i}" for i in range(1700)]
+    docs = list(enumerate(texts))
+    random.Random(3).shuffle(docs)
+    rows = balanced_sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), shards=10).collect()
+    check_shards(rows, docs, 10)
+    where = collections.defaultdict(collections.Counter)
+    for r in rows:
+        where[texts[r.doc_id]][r.shard] += 1
+    assert len(where["whole"]) == 1 and len(where["large"]) <= 6 and len(where["larger than one"]) <= 4
+    # pairs in one shard: spread evenly, a tenth of a group's pairs; packed as tightly as can be, 0.27 and 0.56
+    share = {t: sum(n * n for n in w.values()) / sum(w.values()) ** 2 for t, w in where.items()}
+    assert share["large"] > 0.2 and share["larger than one"] > 0.4
+
+
 def test_sharding_of_skewed_groups(spark):
     """Groups of half a shard and more, of a quarter, and many small ones: all fit, so none is cut."""
     rng = random.Random(8)
