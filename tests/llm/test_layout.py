@@ -36,6 +36,21 @@ def test_encoder_equals_the_library(path):
         assert np.frombuffer(Encoder.of(path).encode(x.encode()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@pytest.mark.parametrize("letters", [" \t\n\r\x0b\x0cab'.,1é ß 日", "aB'sTre vdll \n", "Σσaİi'. \u0301è", "a \x1c\x00\x7f\xa0\x85.", "<|endoftext|> a", "ÀÁà aA1٣५.🙂"])
+def test_batches_of_texts_encode_like_the_library(path, letters):
+    r, t, encoder = random.Random(7), Tokenizer.from_file(path), Encoder(path)
+    t.encode_special_tokens = True
+    encoder.kept.most = 50  # less than a batch has, so pieces leave the cache
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 25))) for _ in range(1200)]
+    for size in (1, 7, 400):
+        batches = [texts[i : i + size] for i in range(0, 400 if size == 1 else 1200, size)]
+        for b in batches:
+            got = encoder.encode_all([x.encode() for x in b])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in b]
+    assert encoder.encode_all([]) == [] and encoder.encode_all([b"", b""]) == [b"", b""]
+
+
 def check_pieces(rows, docs, capacity=2048):
     seq, by = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
