@@ -74,10 +74,10 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         task, row = TaskContext.get().partitionId() << 32, 0
-        for b in common.batches(it, "text"):
+        for b in common.batches(it, "text", 4 << 20):
             out: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), common.utf8(b.column("text")).to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode_all(common.utf8(b.column("text")).to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 out += [(doc, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n, task + row // DEAL) for at in range(0, n, capacity)]
                 row += 1
