@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import Relations, fixpoint
+from ..plans import local
+from ..plans.fixpoint import Relations, fixpoint, split
+from ..plans.scratch import table
 
 #: The attribute of symbols that have none.
 NONE = -1
@@ -93,7 +96,7 @@ def parse(text: str) -> Grammar:
     return Grammar(sections["Start"].strip(), sections.get("Terminal", "").split(), productions)
 
 
-def rule_tables(spark: SparkSession, grammar: Grammar) -> tuple[list[str], DataFrame, DataFrame]:
+def rules(grammar: Grammar) -> tuple[list[str], list[tuple], list[tuple]]:
     """Symbols that derive nothing; unary rules (lhs, y, keep); binary rules (lhs, y, z, take, same).
 
     take: whose attribute the result has (0 none, 1 left, 2 right); same: whether both attributes must agree.
@@ -102,14 +105,34 @@ def rule_tables(spark: SparkSession, grammar: Grammar) -> tuple[list[str], DataF
     empty = [a for a, r in grammar.productions if not r]
     unary = [(a, r[0], has(a) and has(r[0])) for a, r in grammar.productions if len(r) == 1]
     binary = [(a, r[0], r[1], (1 if has(r[0]) else 2) if has(a) else 0, has(r[0]) and has(r[1])) for a, r in grammar.productions if len(r) == 2]
+    return empty, unary, binary
+
+
+def rule_tables(spark: SparkSession, grammar: Grammar) -> tuple[list[str], DataFrame, DataFrame]:
+    """The rules as tables."""
+    empty, unary, binary = rules(grammar)
     return empty, spark.createDataFrame(unary, "lhs string, y string, keep boolean"), spark.createDataFrame(binary, "lhs string, y string, z string, take int, same boolean")
 
 
-def reach(edges: DataFrame, grammar: Grammar, nodes: DataFrame | None = None) -> DataFrame:
-    """All derived edges (src, dst, sym, attr). Labels with an attribute are named with `_i`, like in the grammar."""
+def blocks(width: int | None) -> Callable[[str], Column] | None:
+    """Blocks of so many neighbouring nodes, for reach."""
+    return (lambda node: F.expr(f"{node} div {width}")) if width else None
+
+
+def reach(edges: DataFrame, grammar: Grammar, nodes: DataFrame | None = None, wanted: str | None = None, most_local: int = local.MOST_EDGES, block: Callable[[str], Column] | None = None) -> DataFrame:
+    """All derived edges (src, dst, sym, attr), or those of the symbol wanted. Labels with an attribute are named with `_i`, like in the grammar.
+
+    Without nodes, units (see plans.fixpoint.units, which takes block) of at most `most_local` edges are solved in a task each, larger
+    ones by rounds of joins.
+    """
+    seed = edges.select("src", "dst", "sym", F.coalesce("attr", F.lit(NONE)).cast("long").alias("attr"))
+    if most_local and nodes is None:
+        empty, unary, binary = rules(grammar.binary())
+        small, large = split(table(seed.distinct()), most_local, block)
+        found = table(local.by_unit(small, lambda e: local.reached_rows(e, empty, unary, binary, NONE, wanted), "src long, dst long, sym string, attr long"))
+        return found if large is None else found.unionByName(reach(large, grammar, wanted=wanted, most_local=0))
     spark = edges.sparkSession
     empty, unary, binary = rule_tables(spark, grammar.binary())
-    seed = edges.select("src", "dst", "sym", F.coalesce("attr", F.lit(NONE)).cast("long").alias("attr"))
     every = nodes if nodes is not None else edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
     every = every.select("node").distinct()
     for s in empty:
@@ -128,7 +151,8 @@ def reach(edges: DataFrame, grammar: Grammar, nodes: DataFrame | None = None) ->
         one = d.withColumnRenamed("sym", "y").join(F.broadcast(unary), "y").select("src", "dst", F.col("lhs").alias("sym"), F.when(F.col("keep"), F.col("attr")).otherwise(none).alias("attr"))
         return {"edge": one.unionByName(paired(d, f)).unionByName(paired(f, d))}
 
-    return fixpoint({"edge": seed}, step)["edge"]
+    found = fixpoint({"edge": seed}, step)["edge"]
+    return found if wanted is None else found.where(F.col("sym") == wanted)
 
 
 #: Matched calls and returns around plain value flow.

@@ -69,14 +69,17 @@ def expressions(stmt: DataFrame) -> DataFrame:
     return reversed_too(assigned.unionByName(followed).unionByName(objects))
 
 
-def constraint_aliases(stmt: DataFrame) -> DataFrame:
-    """(a, b), a < b: variables that may point to one object."""
-    found = cfl.reach(two_way(stmt), cfl.parse(CONSTRAINT_ALIAS))
-    return found.where("sym = 'A' and src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+def constraint_aliases(stmt: DataFrame, width: int | None = None) -> DataFrame:
+    """(a, b), a < b: variables that may point to one object. width: nodes of a module, if they are numbered by modules."""
+    found = cfl.reach(two_way(stmt), cfl.parse(CONSTRAINT_ALIAS), wanted="A", block=cfl.blocks(width))
+    return found.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-def value_aliases(stmt: DataFrame) -> DataFrame:
-    """(a, b), a < b: variables and objects' contents that may have one value, also one whose address is never taken."""
-    found = cfl.reach(expressions(stmt), cfl.parse(EXPRESSION_ALIAS))
-    both = found.where("sym = 'V' and src < dst and src % 3 = 0 and dst % 3 = 0")
+def value_aliases(stmt: DataFrame, width: int | None = None) -> DataFrame:
+    """(a, b), a < b: variables and objects' contents that may have one value, also one whose address is never taken.
+
+    width: nodes of a module, if they are numbered by modules.
+    """
+    found = cfl.reach(expressions(stmt), cfl.parse(EXPRESSION_ALIAS), wanted="V", block=cfl.blocks(width and value(width)))
+    both = found.where("src < dst and src % 3 = 0 and dst % 3 = 0")
     return both.select(F.expr("src div 3").alias("a"), F.expr("dst div 3").alias("b"))

@@ -26,7 +26,7 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {STMT}, {_solution()}, pts AS (SELECT a AS var, b AS obj FROM r WHERE k = 'p' AND a % 16 < 8)
 SELECT DISTINCT p.var AS a, q.var AS b FROM pts p JOIN pts q ON p.obj = q.obj AND p.var < q.var""")
 def cfl_constraint_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cfl_alias.constraint_aliases(_statements(spark, sf_dir))
+    return cfl_alias.constraint_aliases(_statements(spark, sf_dir), width=16)
 
 
 @query(f"""WITH RECURSIVE {STMT},
@@ -47,4 +47,4 @@ r(k, x, y) USING KEY (k, x, y) AS (
    UNION SELECT 'M', p.t, q.t FROM r v JOIN d p ON v.k = 'V' AND p.s = v.x JOIN d q ON q.s = v.y))
 SELECT x // 3 AS a, y // 3 AS b FROM r WHERE k = 'V' AND x < y AND x % 3 = 0 AND y % 3 = 0""")
 def cfl_value_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cfl_alias.value_aliases(_statements(spark, sf_dir))
+    return cfl_alias.value_aliases(_statements(spark, sf_dir), width=16)
