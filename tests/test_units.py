@@ -18,7 +18,7 @@ def no_rounds(*a, **k):
     raise AssertionError("rounds of joins over small units")
 
 
-@pytest.mark.parametrize("name", ["cfl_value_aliases", "cfl_value_flow"])
+@pytest.mark.parametrize("name", ["cfl_value_aliases", "cfl_value_flow", "cfl_constraint_aliases"])
 def test_reachability_takes_no_rounds(spark, monkeypatch, name):
     monkeypatch.setattr(cfl, "fixpoint", no_rounds)
     assert registry.QUERIES[name](spark, SF).count() > 0
