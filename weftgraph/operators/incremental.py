@@ -6,30 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import local
-from ..plans.fixpoint import Relations, fixpoint
+from ..plans.fixpoint import Relations, fixpoint, split, units
 from ..plans.scratch import table
-from .inclusion import derived_copies, flow, solve, units
+from .inclusion import Block, derived_copies, flow, solve, solved
 
 
-def apply(stmt: DataFrame, pts: DataFrame, copy: DataFrame, deleted: DataFrame, inserted: DataFrame, most_local: int = local.MOST_STATEMENTS) -> tuple[DataFrame, Relations]:
+def apply(stmt: DataFrame, pts: DataFrame, copy: DataFrame, deleted: DataFrame, inserted: DataFrame, most_local: int = local.MOST_STATEMENTS, block: Block = None, most_kept: int = local.MOST_STATEMENTS) -> tuple[DataFrame, Relations]:
     """The new statements and their solution, from the old ones and their solution (pts, copy).
 
     Delete and rederive: first everything that some derivation from a deleted fact leads to is taken away (over-deletion),
     then the rules run on from what is left together with the inserted facts. The result equals solving the new statements.
     Only weak components (of old and new statements) that a change touches are looked at; those of at most `most_local`
-    statements are solved anew, as one task is quicker than maintenance there.
+    statements are solved anew, as one task is quicker than maintenance there. The others are maintained: those of at most `most_kept`
+    statements in a task each, larger ones by rounds of joins.
     """
     names = ["kind", "src", "dst"]
     stmt = table(stmt.select(*names))
     gone = table(deleted.select(*names).distinct().join(stmt, names, "left_semi"))
     now = table(stmt.join(gone, names, "left_anti").unionByName(inserted.select(*names)).distinct())
     if now.count() <= most_local:
-        return now, solve(now, most_local=most_local)
-    every = stmt.unionByName(now).distinct()
-    unit = units(every)
+        return now, solve(now, most_local=most_local, block=block)
+    placed = table(units(table(stmt.unionByName(now).distinct()), block))
+    unit = placed.select(F.explode(F.array("src", "dst")).alias("node"), F.col("unit").alias("rep")).distinct()
     changed = gone.unionByName(inserted.select(*names)).select(F.col("src").alias("node")).distinct()
     touched = unit.join(changed, "node", "left_semi").select("rep").distinct()
-    sizes = every.join(unit.select(F.col("node").alias("src"), "rep"), "src").groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed.groupBy(F.col("unit").alias("rep")).agg(F.count(F.lit(1)).alias("n"))
     touched = table(sizes.join(touched, "rep", "left_semi").select("rep", (F.col("n") <= most_local).alias("small")))
     where = table(unit.join(touched, "rep").select("node", "small"))
 
@@ -39,18 +40,29 @@ def apply(stmt: DataFrame, pts: DataFrame, copy: DataFrame, deleted: DataFrame,
         return df.join(those, key, "left_anti") if small is None else df.join(those.where(F.col("small") == small), key, "left_semi")
 
     same = {"pts": part(pts.select("var", "obj"), "var", None), "copy": part(copy.select("src", "dst"), "src", None)}
-    anew = solve(part(now, "src", True), most_local=most_local) if most_local else None
+    anew = solve(part(now, "src", True), most_local=most_local, block=block) if most_local else None
     rest = part(now, "src", False)
     if not most_local or not touched.where("not small").isEmpty():
         old = part(stmt, "src", False), part(pts, "var", False), part(copy, "src", False), part(gone, "src", False)
-        kept = _maintained(rest, *old)
+        kept = _maintained(rest, *old, block, most_kept)
         same = {k: same[k].unionByName(kept[k]) for k in same}
     return now, {k: table(same[k].unionByName(anew[k]) if anew else same[k]) for k in same}
 
 
-def _maintained(now: DataFrame, stmt: DataFrame, pts: DataFrame, copy: DataFrame, gone: DataFrame) -> Relations:
+def _maintained(now: DataFrame, stmt: DataFrame, pts: DataFrame, copy: DataFrame, gone: DataFrame, block: Block = None, most_kept: int = 0) -> Relations:
     """The solution of the statements now, from that of stmt, of which gone are deleted."""
     now, stmt, pts, copy, gone = (table(df) for df in (now, stmt, pts, copy, gone))
+    if most_kept:
+        small, large = split(table(stmt.unionByName(now).distinct()), most_kept, block)
+        unit = table(small.select(F.explode(F.array("src", "dst")).alias("a"), "unit").distinct())
+        facts = [df.select(F.lit(tag).alias("tag"), kind.alias("kind"), F.col(a).alias("a"), F.col(b).alias("b")) for df, tag, kind, a, b in (
+            (stmt, "old", F.col("kind"), "src", "dst"), (now, "now", F.col("kind"), "src", "dst"), (pts, "", F.lit("p"), "var", "obj"), (copy, "", F.lit("c"), "src", "dst"))]
+        rows = facts[0].unionByName(facts[1]).unionByName(facts[2]).unionByName(facts[3]).join(unit, "a").select("tag", "kind", "a", "b", "unit")
+        kept = solved(local.by_unit(rows, local.maintained_rows, "k string, a long, b long"))
+        if large is None:
+            return kept
+        rest = _maintained(*(df.join(unit.select(F.col("a").alias(k)), k, "left_anti") for df, k in ((now, "src"), (stmt, "src"), (pts, "var"), (copy, "src"), (gone, "src"))))
+        return {k: kept[k].unionByName(rest[k]) for k in kept}
     kinds = {k: gone.where(F.col("kind") == k).select("src", "dst") for k in ("addr", "copy", "load", "store")}
     load, store = (stmt.where(F.col("kind") == k).select("src", "dst") for k in ("load", "store"))
     seed_pts = kinds["addr"].select(F.col("dst").alias("var"), F.col("src").alias("obj"))
