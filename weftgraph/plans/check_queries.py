@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import concurrency, conditions, slices
+from ..operators import cfl, concurrency, conditions, slices
 from ..sources import facts
 from .registry import CFL_EDGES, DOM, _cfl_edges, _flow, query
 from .scratch import shared_dir, table
@@ -121,4 +121,4 @@ SELECT source, node, count(*) AS n_contexts FROM walk GROUP BY source, node""")
 def context_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(_cfl_edges(spark, sf_dir))
     start = edges.where("src % 8 = 0").select(F.col("src").alias("node")).distinct()
-    return slices.contexts(edges, start, 2).groupBy("source", "node").agg(F.count(F.lit(1)).alias("n_contexts"))
+    return slices.context_counts(edges, start, 2, block=cfl.blocks(32))
