@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import closure
+from ..plans.fixpoint import Relations, closure, fixpoint
 from ..plans.scratch import table
 
 
@@ -66,6 +66,35 @@ def effects(local: DataFrame, calls: DataFrame) -> DataFrame:
     return local.unionByName(below).distinct()
 
 
+def effect_kinds(local: DataFrame, calls: DataFrame) -> DataFrame:
+    """(fun, effect) of functions with those of all they call: whether, not on what. Only kinds go up the calls, at most two a function."""
+    up = table(calls.select(F.col("callee").alias("fun"), "caller").distinct())
+
+    def step(full: Relations, delta: Relations) -> Relations:
+        return {"at": delta["at"].join(up, "fun").select(F.col("caller").alias("fun"), "effect")}
+
+    return fixpoint({"at": local.select("fun", "effect")}, step)["at"]
+
+
+def effect_sizes(local: DataFrame, calls: DataFrame) -> DataFrame:
+    """(fun, effect, n_objs, first_obj, last_obj, sum_obj) of effects(): 32 neighbouring objects are the lower bits of one word, whose sign stays free."""
+    bit = F.expr("shiftleft(1L, cast(pmod(obj, 32) as int))")
+    words = table(local.groupBy("fun", "effect", F.expr("(obj - pmod(obj, 32)) div 32").alias("word")).agg(F.bit_or(bit).alias("bits")))
+    reach = table(closure(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))))
+    below = reach.join(words, reach["dst"] == words["fun"]).select(F.col("src").alias("fun"), "effect", "word", "bits")
+    every = words.unionByName(below).groupBy("fun", "effect", "word").agg(F.bit_or("bits").alias("bits"))
+    down, n = "bits", F.bit_count("bits").cast("long")
+    for k in (1, 2, 4, 8, 16):  # all bits below the highest
+        every = every.withColumn("_down", F.expr(f"{down} | shiftrightunsigned({down}, {k})"))
+        down = "_down"
+    # the places of a word's bits add up to those of each binary digit of a place
+    masks = [sum(1 << i for i in range(32) if i >> j & 1) for j in range(5)]
+    places = sum((F.bit_count(F.col("bits").bitwiseAND(F.lit(m))) * (1 << j) for j, m in enumerate(masks)), F.lit(0)).cast("long")
+    first, last = F.expr("cast(bit_count((bits & -bits) - 1) as bigint)"), F.bit_count("_down").cast("long") - 1
+    base = F.col("word") * 32
+    return every.groupBy("fun", "effect").agg(F.sum(n).alias("n_objs"), F.min(base + first).alias("first_obj"), F.max(base + last).alias("last_obj"), F.sum(base * n + places).alias("sum_obj"))
+
+
 def mod_ref(all_effects: DataFrame, calls: DataFrame) -> DataFrame:
     """For each call site (site, callee): ModRef, Mod, Ref or NoModRef."""
     kinds = all_effects.groupBy(F.col("fun").alias("callee")).agg(F.bool_or(F.col("effect") == "mod").alias("m"), F.bool_or(F.col("effect") == "ref").alias("r"))

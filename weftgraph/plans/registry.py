@@ -48,7 +48,7 @@ CALLS = f"WITH RECURSIVE {facts.CALL_SQL}, path(src, dst) AS (SELECT caller, cal
 
 
 def _pts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inclusion.points_to(facts.statements(spark, sf_dir))
+    return inclusion.points_to(facts.statements(spark, sf_dir), facts.block)
 
 
 # ---- whole-program solvers ---------------------------------------------------------------------------------------
@@ -146,21 +146,21 @@ local AS (SELECT DISTINCT fun, obj, 'ref' AS effect FROM fun_of JOIN pts ON kind
 effects AS (SELECT fun, obj, effect FROM local UNION SELECT p.src, l.obj, l.effect FROM path p JOIN local l ON p.dst = l.fun)"""
 
 
-def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _local_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     stmt = table(facts.statements(spark, sf_dir))
-    local = table(sets.local_effects(facts.with_functions(stmt), inclusion.points_to(stmt)))
-    return sets.effects(local, facts.calls(spark, sf_dir))
+    return table(sets.local_effects(facts.with_functions(stmt), inclusion.points_to(stmt, facts.block)))
 
 
 @query(f"{EFFECTS} SELECT fun, effect, count(*) AS n_objs, min(obj) AS first_obj, max(obj) AS last_obj, sum(obj)::BIGINT AS sum_obj FROM effects GROUP BY fun, effect")
 def function_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _effects(spark, sf_dir).groupBy("fun", "effect").agg(F.count(F.lit(1)).alias("n_objs"), F.min("obj").alias("first_obj"), F.max("obj").alias("last_obj"), F.sum("obj").alias("sum_obj"))
+    return sets.effect_sizes(_local_effects(spark, sf_dir), facts.calls(spark, sf_dir))
 
 
 @query(f"""{EFFECTS} SELECT DISTINCT site, c.callee, CASE WHEN m AND r THEN 'ModRef' WHEN m THEN 'Mod' WHEN r THEN 'Ref' ELSE 'NoModRef' END AS result
 FROM call c LEFT JOIN (SELECT fun, bool_or(effect = 'mod') AS m, bool_or(effect = 'ref') AS r FROM effects GROUP BY fun) e ON c.callee = e.fun""")
 def mod_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.mod_ref(_effects(spark, sf_dir), facts.calls(spark, sf_dir))
+    calls = table(facts.calls(spark, sf_dir))
+    return sets.mod_ref(sets.effect_kinds(_local_effects(spark, sf_dir), calls), calls)
 
 
 REGION_SETS = "member AS (SELECT DISTINCT l_partkey % 20 AS fun, l_orderkey AS set_id, l_suppkey AS obj FROM lineitem)"
@@ -303,16 +303,16 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 @query(f"{WITH}, {NEW}, {_solution(stmt='new')} SELECT a AS var, b AS obj FROM r WHERE k = 'p'")
 def incremental_points_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, deleted, inserted = _versions(spark, sf_dir)
-    solved = inclusion.solve(old)
-    return incremental.apply(old, solved["pts"], solved["copy"], deleted, inserted)[1]["pts"]
+    solved = inclusion.solve(old, block=facts.block)
+    return incremental.apply(old, solved["pts"], solved["copy"], deleted, inserted, block=facts.block)[1]["pts"]
 
 
 @query(f"""{WITH}, {OLD}, {NEW}, {_solution(stmt='old', name='r')}, {_solution(stmt='new', name='q')}, o AS (SELECT a AS var, b AS obj FROM r WHERE k = 'p'), n AS (SELECT a AS var, b AS obj FROM q WHERE k = 'p')
 SELECT '-' AS op, var, obj FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT '+', var, obj FROM (SELECT * FROM n EXCEPT SELECT * FROM o)""")
 def points_to_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, deleted, inserted = _versions(spark, sf_dir)
-    solved = inclusion.solve(old)
-    new = incremental.apply(old, solved["pts"], solved["copy"], deleted, inserted)[1]["pts"]
+    solved = inclusion.solve(old, block=facts.block)
+    new = incremental.apply(old, solved["pts"], solved["copy"], deleted, inserted, block=facts.block)[1]["pts"]
     return incremental.changes(solved["pts"], new)
 
 
