@@ -1,9 +1,11 @@
 """Units solved in a task each: no rounds of joins where units are small, and the same rows as by rounds."""
 
+import random
+
 import pytest
 
-from weftgraph.operators import cfl, cfl_alias
-from weftgraph.plans import alias_queries, registry
+from weftgraph.operators import calls, cfl, cfl_alias, incremental, sets, slices
+from weftgraph.plans import alias_queries, check_queries, local, registry, solve_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +39,37 @@ def test_aliases_of_modules_equal_those_without(spark):
     stmt = alias_queries._statements(spark, SF).where("src < 1600")
     for found in (cfl_alias.value_aliases, cfl_alias.constraint_aliases):
         assert rows(found(stmt, width=16)) == rows(found(stmt)) != set()
+
+
+@pytest.mark.parametrize("module, name", [(calls, "edges_on_the_fly"), (slices, "context_reachability"), (incremental, "maintained_changes")])
+def test_small_units_take_no_rounds(spark, monkeypatch, module, name):
+    monkeypatch.setattr(module, "fixpoint", no_rounds)
+    assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_maintenance_in_a_task_equals_solving(spark):
+    rng = random.Random(3)
+    some = [(k, rng.randrange(100, 104) if k == "addr" else rng.randrange(8), rng.randrange(8)) for k in ("addr", "copy", "load", "store") * 8]
+    for turn in range(20):
+        every = set(rng.sample(some, 20))
+        gone, come = (set(rng.sample(sorted(every), 3)) for _ in range(2))
+        old, now = every - come, every - gone
+        solved = local.solved_rows(sorted(old), False)
+        facts = [("old", *r) for r in old] + [("now", *r) for r in now] + [("", *r) for r in solved]
+        assert set(local.maintained_rows(facts)) == set(local.solved_rows(sorted(now), False)), turn
+
+
+def test_kinds_of_effects_go_up_without_the_closure(spark, monkeypatch):
+    monkeypatch.setattr(sets, "closure", no_rounds)
+    effects = spark.createDataFrame([(3, 70, "mod"), (2, 5, "ref")], "fun long, obj long, effect string")
+    call = spark.createDataFrame([(1, 2, 9), (2, 3, 8), (3, 1, 7)], "caller long, callee long, site long")
+    assert rows(sets.effect_kinds(effects, call)) == {(f, e) for f in (1, 2, 3) for e in ("mod", "ref")}
+
+
+def test_sizes_of_effects_by_words(spark):
+    effects = [(f, o, "mod") for f, o in ((2, 0), (2, 63), (2, 64), (3, 63), (3, 127), (3, -1), (4, 1_000_000_007))]
+    effects = spark.createDataFrame(effects, "fun long, obj long, effect string")
+    call = spark.createDataFrame([(1, 2, 9), (2, 3, 8), (3, 2, 7)], "caller long, callee long, site long")
+    of = {1: (0, 63, 64, 127, -1), 2: (0, 63, 64, 127, -1), 3: (0, 63, 64, 127, -1), 4: (1_000_000_007,)}
+    got = rows(sets.effect_sizes(effects, call), "fun", "effect", "n_objs", "first_obj", "last_obj", "sum_obj")
+    assert got == {(f, "mod", len(o), min(o), max(o), sum(o)) for f, o in of.items()}
