@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from weftgraph.operators import calls, cfl, cfl_alias, incremental, sets, slices
+from weftgraph.operators import calls, cfl, cfl_alias, inclusion, incremental, sets, slices
 from weftgraph.plans import alias_queries, check_queries, local, registry, solve_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +75,27 @@ def test_sizes_of_effects_by_words(spark):
     assert got == {(f, "mod", len(o), min(o), max(o), sum(o)) for f, o in of.items()}
 
 
+@pytest.mark.parametrize("name", ["maintained_points_to", "maintained_changes"])
+def test_maintenance_hands_on_no_solution_between_tasks(spark, monkeypatch, name):
+    for module in (inclusion, incremental):
+        monkeypatch.setattr(module, "solve", no_rounds)
+    assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("most_kept", [6, 5000])
+def test_solved_changes_equal_solving_both(spark, most_kept):
+    rng = random.Random(8)
+    some = sorted({(k, rng.randrange(100, 104) if k == "addr" else rng.randrange(9), rng.randrange(9)) for k in ("addr", "copy", "load", "store") * 9})
+    far = [(k, s + 1000, d + 1000) for k, s, d in (("addr", 100, 1), ("copy", 1, 2))]
+    gone, come = set(rng.sample(some, 4)), set(rng.sample(some, 4))
+    old, now = {*some, *far} - come, {*some, *far} - (gone - come)
+    frame = lambda x: spark.createDataFrame(sorted(x), "kind string, src long, dst long")
+    a, b = ({r[1:] for r in local.solved_rows(sorted(x), False) if r[0] == "p"} for x in (old, now))
+    want = {("-", *r) for r in a - b} | {("+", *r) for r in b - a}
+    assert rows(incremental.solved_changes(frame(old), frame(gone), frame(come), same=False, most_kept=most_kept)) == want
+    assert rows(incremental.solved_changes(frame(old), frame(gone), frame(come), most_kept=most_kept)) == want | {("=", *r) for r in a & b}
+
+
 def test_tasks_hand_on_the_wanted_relations_only():
     facts = [("addr", 100, 1, 0, 0, 0), ("copy", 1, 2, 0, 0, 0), ("site", 2, 2, 7, 1, 0), ("function", 100, 100, 100, 1, 0)]
     assert local.called_rows(facts, 1000, "e") == [("e", 7, 100)]

@@ -44,12 +44,12 @@ def apply(stmt: DataFrame, pts: DataFrame, copy: DataFrame, deleted: DataFrame,
     rest = part(now, "src", False)
     if not most_local or not touched.where("not small").isEmpty():
         old = part(stmt, "src", False), part(pts, "var", False), part(copy, "src", False), part(gone, "src", False)
-        kept = _maintained(rest, *old, block, most_kept)
+        kept = _kept(rest, *old, block, most_kept)
         same = {k: same[k].unionByName(kept[k]) for k in same}
     return now, {k: table(same[k].unionByName(anew[k]) if anew else same[k]) for k in same}
 
 
-def _maintained(now: DataFrame, stmt: DataFrame, pts: DataFrame, copy: DataFrame, gone: DataFrame, block: Block = None, most_kept: int = 0) -> Relations:
+def _kept(now: DataFrame, stmt: DataFrame, pts: DataFrame, copy: DataFrame, gone: DataFrame, block: Block = None, most_kept: int = 0) -> Relations:
     """The solution of the statements now, from that of stmt, of which gone are deleted."""
     now, stmt, pts, copy, gone = (table(df) for df in (now, stmt, pts, copy, gone))
     if most_kept:
@@ -61,7 +61,7 @@ def _maintained(now: DataFrame, stmt: DataFrame, pts: DataFrame, copy: DataFrame
         kept = solved(local.by_unit(rows, local.maintained_rows, "k string, a long, b long"))
         if large is None:
             return kept
-        rest = _maintained(*(df.join(unit.select(F.col("a").alias(k)), k, "left_anti") for df, k in ((now, "src"), (stmt, "src"), (pts, "var"), (copy, "src"), (gone, "src"))))
+        rest = _kept(*(df.join(unit.select(F.col("a").alias(k)), k, "left_anti") for df, k in ((now, "src"), (stmt, "src"), (pts, "var"), (copy, "src"), (gone, "src"))))
         return {k: kept[k].unionByName(rest[k]) for k in kept}
     kinds = {k: gone.where(F.col("kind") == k).select("src", "dst") for k in ("addr", "copy", "load", "store")}
     load, store = (stmt.where(F.col("kind") == k).select("src", "dst") for k in ("load", "store"))
@@ -82,6 +82,37 @@ def _maintained(now: DataFrame, stmt: DataFrame, pts: DataFrame, copy: DataFrame
     return solve(now, kept_pts.unionByName(seen).distinct(), kept_copy.unionByName(again).distinct())
 
 
+def solved_changes(stmt: DataFrame, deleted: DataFrame, inserted: DataFrame, same: bool = True, block: Block = None, most_kept: int = local.MOST_STATEMENTS) -> DataFrame:
+    """(op, var, obj): facts that only the statements' solution has ('-'), only that of the changed statements ('+'), or both ('=', if same).
+
+    The old statements are solved and their solution is maintained, as in apply: units of at most `most_kept` statements of both programs in
+    one task each, which hands on no copies; larger ones by rounds of joins.
+    """
+    names = ["kind", "src", "dst"]
+    flag = lambda df, *at: df.select(*names, *[F.lit(i in at).alias(n) for i, n in enumerate(("old", "gone", "come"))])
+    said = flag(stmt, 0).unionByName(flag(deleted, 1)).unionByName(flag(inserted, 2)).groupBy(*names).agg(*[F.max(n).alias(n) for n in ("old", "gone", "come")])
+    now = (F.col("old") & ~F.col("gone")) | F.col("come")
+    side = F.when(F.col("old") & now, 0).when(F.col("old"), 1).when(now, 2).cast("long")
+    return _maintained(table(said.select(*names, side.alias("side")).where("side is not null")), same, block, most_kept)
+
+
+def _maintained(both: DataFrame, same: bool, block: Block, most_kept: int) -> DataFrame:
+    """solved_changes of the statements (kind, src, dst, side) of both programs (side: see local.changed_rows)."""
+    names = ["kind", "src", "dst"]
+    small, large = split(both, most_kept, block)
+    found = table(local.by_unit(small.select(*names, "side", "unit"), lambda f: local.changed_rows(f, same), "op string, var long, obj long"))
+    if large is None:
+        return found
+    large = table(large)
+    old = large.where("side < 2").select(*names)
+    solved_ = solve(old, most_local=0)
+    after = apply(old, solved_["pts"], solved_["copy"], large.where("side = 1"), large.where("side = 2"), most_local=0, most_kept=0)[1]["pts"]
+    rest = changes(solved_["pts"], after)
+    if same:
+        rest = rest.unionByName(after.join(solved_["pts"], ["var", "obj"], "left_semi").select(F.lit("=").alias("op"), "var", "obj"))
+    return found.unionByName(rest)
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """op ('-' or '+') and the row, for rows of one result and not of the other."""
     names = old.columns
