@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from weftgraph.operators import calls, cfl, cfl_alias, inclusion, incremental, sets, slices
-from weftgraph.plans import alias_queries, check_queries, local, registry, solve_queries  # noqa: F401
+from weftgraph.operators import calls, cfl, cfl_alias, dominance, inclusion, incremental, memory_ssa, sets, slices
+from weftgraph.plans import alias_queries, check_queries, local, registry, solve_queries, ssa_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,3 +100,21 @@ def test_tasks_hand_on_the_wanted_relations_only():
     facts = [("addr", 100, 1, 0, 0, 0), ("copy", 1, 2, 0, 0, 0), ("site", 2, 2, 7, 1, 0), ("function", 100, 100, 100, 1, 0)]
     assert local.called_rows(facts, 1000, "e") == [("e", 7, 100)]
     assert set(local.called_rows(facts, 1000, "p")) == {("p", 1, 100), ("p", 2, 100)}
+
+
+@pytest.mark.parametrize("name", ["memory_value_flow", "memory_value_flow_without_phis"])
+def test_memory_ssa_takes_no_rounds(spark, monkeypatch, name):
+    for module in (memory_ssa, dominance):
+        monkeypatch.setattr(module, "fixpoint", no_rounds)
+    assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("make", ["ssa", "flow", "plain"])
+def test_memory_ssa_in_a_task_equals_that_by_rounds(spark, make):
+    rng = random.Random(2)
+    flow = {(8 * p + a, 8 * p + rng.randrange(8)) for p in range(6) for a in range(8) for _ in range(2)} | {(60, 60)}
+    places = {(rng.randrange(2), rng.randrange(48), rng.random() < 0.4) for _ in range(60)} | {(0, 60, True), (1, 61, False)}
+    frames = spark.createDataFrame(sorted(flow), "src long, dst long"), spark.createDataFrame(sorted(places), "region long, node long, writes boolean")
+    root = spark.createDataFrame([(8 * p + 1,) for p in range(6)] + [(60,)], "node long")
+    got = [rows(memory_ssa.solved(*frames, root, make, most_local=most, block=block)) for most in (10, 5000) for block in (None, cfl.blocks(8))]
+    assert got[0] == got[1] == got[2] == got[3] and got[0]

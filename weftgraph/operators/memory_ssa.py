@@ -6,13 +6,16 @@ blocks that may read or write a region; roots (root, node) says which procedure'
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.fixpoint import Relations, fixpoint
+from ..plans import local
+from ..plans.fixpoint import Relations, fixpoint, split
 from ..plans.scratch import table
-from .dominance import frontier, phis
+from .dominance import dominators, frontier, phis
 
 #: Where a version begins, in the order of a block: the procedure's entry, a phi, a write.
 ENTRY, PHI, CHI = 0, 1, 2
@@ -87,6 +90,35 @@ def without_phis(edges: DataFrame) -> DataFrame:
     return fixpoint({"edge": edges.where("src_kind <> 'phi'")}, step)["edge"].where("dst_kind <> 'phi'")
 
 
+#: What `solved` may make: the rows of build, of value_flow of those, or of without_phis of those.
+SCHEMAS = {"ssa": "root long, region long, node long, annotation string, operand long, result long"} | dict.fromkeys(("flow", "plain"), "root long, region long, src long, src_kind string, dst long, dst_kind string")
+
+
+def solved(flow: DataFrame, places: DataFrame, root: DataFrame, make: str = "ssa", most_local: int = local.MOST_STATEMENTS, block: Callable[[str], Column] | None = None) -> DataFrame:
+    """Rows of SCHEMAS[make] of the procedures that begin at roots (node); procedures share no nodes.
+
+    Units (see plans.fixpoint.units, which takes block) of at most `most_local` edges, places and roots are solved in a task each, larger
+    ones by rounds of joins.
+    """
+    zero = F.lit(0).cast("long")
+    rows = [
+        flow.select(F.lit("f").alias("tag"), "src", "dst", zero.alias("region"), zero.alias("writes")),
+        places.select(F.lit("p"), F.col("node"), F.col("node"), F.col("region").cast("long"), F.col("writes").cast("long")),
+        root.select(F.lit("r"), F.col("node"), F.col("node"), zero, zero),
+    ]
+    small, large = split(table(rows[0].union(rows[1]).union(rows[2]).distinct()), most_local, block)
+    found = table(local.by_unit(small.select("tag", "src", "dst", "region", "writes", "unit"), lambda f: local.ssa_rows(f, make), SCHEMAS[make]))
+    if large is None:
+        return found
+    large = table(large)
+    rest, start = large.where("tag = 'f'").select("src", "dst"), large.where("tag = 'r'").select(F.col("src").alias("node"))
+    dom = table(dominators(rest, start))
+    within = dom.join(start.withColumnRenamed("node", "dom"), "dom").select(F.col("dom").alias("root"), "node")
+    ssa = build(rest, dom, large.where("tag = 'p'").select("region", F.col("src").alias("node"), (F.col("writes") == 1).alias("writes")), within)
+    more = ssa if make == "ssa" else value_flow(ssa) if make == "flow" else without_phis(value_flow(ssa))
+    return found.unionByName(more)
+
+
 def counts(ssa: DataFrame) -> DataFrame:
     """(root, n_entry, n_mu, n_chi, n_phi) of each procedure; a phi counts once however many operands it has."""
     once = ssa.select("root", "region", "node", "annotation").distinct()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dominance, memory_ssa
+from ..operators import memory_ssa
 from .registry import DOM, _flow, _roots, query
 from .scratch import shared_dir, table
 
@@ -31,14 +31,11 @@ ssa AS (SELECT DISTINCT root, region, node, 'mu' AS annotation, ver AS operand,
 vf AS (SELECT DISTINCT a.root, a.region, a.node AS src, a.annotation AS src_kind, b.node AS dst, b.annotation AS dst_kind FROM ssa a JOIN ssa b ON a.root = b.root AND a.region = b.region AND a.result = b.operand AND a.result > 0)"""
 
 
-def _ssa(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ssa(spark: SparkSession, sf_dir: str, make: str = "ssa") -> DataFrame:
     flow = table(_flow(spark, sf_dir))
-    roots = table(_roots(flow))
-    dom = table(dominance.dominators(flow, roots))
-    within = dom.join(roots.withColumnRenamed("node", "dom"), "dom").select(F.col("dom").alias("root"), "node")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     places = lines.select((F.col("l_suppkey") % 4).alias("region"), F.col("l_orderkey").alias("node"), ((F.col("l_partkey") + F.col("l_linenumber")) % 3 == 0).alias("writes"))
-    return memory_ssa.build(flow, dom, places, within)
+    return memory_ssa.solved(flow, places, _roots(flow), make, block=lambda node: F.expr(f"{node} div 16"))
 
 
 @query(f"{SSA} SELECT DISTINCT root, region, node FROM merge")
@@ -60,11 +57,11 @@ def memory_ssa_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_value_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also through the graph's text form: written to the shared folder and read back."""
     path = f"{shared_dir(spark)}/svfg-{uuid.uuid4().hex}"
-    memory_ssa.write_text(table(memory_ssa.value_flow(_ssa(spark, sf_dir))), path)
+    memory_ssa.write_text(_ssa(spark, sf_dir, "flow"), path)
     return memory_ssa.read_text(spark, path)
 
 
 @query(f"""{SSA}, past(root, region, src, src_kind, dst, dst_kind) AS (SELECT * FROM vf WHERE src_kind <> 'phi' UNION SELECT p.root, p.region, p.src, p.src_kind, v.dst, v.dst_kind FROM past p JOIN vf v ON p.dst_kind = 'phi' AND v.src_kind = 'phi' AND v.src = p.dst AND v.root = p.root AND v.region = p.region)
 SELECT * FROM past WHERE dst_kind <> 'phi'""")
 def memory_value_flow_without_phis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory_ssa.without_phis(memory_ssa.value_flow(_ssa(spark, sf_dir)))
+    return _ssa(spark, sf_dir, "plain")
