@@ -129,7 +129,7 @@ def reach(edges: DataFrame, grammar: Grammar, nodes: DataFrame | None = None, wa
     if most_local and nodes is None:
         empty, unary, binary = rules(grammar.binary())
         small, large = split(table(seed.distinct()), most_local, block)
-        found = table(local.by_unit(small, lambda e: local.reached_rows(e, empty, unary, binary, NONE, wanted), "src long, dst long, sym string, attr long"))
+        found = table(local.reach_units(small, empty, unary, binary, NONE, wanted))
         return found if large is None else found.unionByName(reach(large, grammar, wanted=wanted, most_local=0))
     spark = edges.sparkSession
     empty, unary, binary = rule_tables(spark, grammar.binary())
