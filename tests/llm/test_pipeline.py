@@ -74,3 +74,12 @@ def test_odd_and_empty_tables(spark, sf, odd, none):
             assert name == "packing" or (out.columns == docs.columns and {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()})
             if docs is none:
                 assert not rows
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 100] * 9})
+    assert [b.num_rows for b in common.batches(iter([batch]), "text", 250)] == [2, 2, 2, 2, 1] and given == [1]
+    monkeypatch.undo()
+    common.give_back()

@@ -89,7 +89,7 @@ def sketches(docs: DataFrame, words: int, rows: int, coordinates: int = COORDINA
         from xxhash import xxh3_128_digest
 
         ring = Circulant.of(coordinates)
-        for b in common.batches(it, "text"):
+        for b in common.batches(it, "text", common.STAGE_BYTES):
             sizes, prints, keys = [], [], []
             for s in shingle_sets(common.utf8(b.column("text")), words):
                 sizes.append(len(s))
@@ -105,7 +105,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(it, "text"):
+        for b in common.batches(it, "text", common.STAGE_BYTES):
             yield common.output(schema, node=b.column(places.RID), shingles=[s.tobytes() for s in shingle_sets(common.utf8(b.column("text")), words)])
 
     return docs.mapInArrow(gather, "node long, shingles binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 WINDOW = 4 << 20
 #: Rows of one Arrow batch sent to Python; texts can be long, so batches stay small.
 BATCH_ROWS = 1000
+#: Bytes of texts that a stage of the pipeline works on at once: some hundred bytes of memory each, in every Python worker.
+STAGE_BYTES = 1 << 18
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -104,8 +107,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"")
 
 
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system: Python workers outlive their tasks and what they held once counts on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20, most_rows: int = 4000) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds at most so many bytes of the column, one row at least."""
+    """Cut Arrow batches so that each holds at most so many bytes of the column, one row at least; after the last, freed memory is given back."""
     for b in it:
         off = np.frombuffer(utf8(b.column(column)).buffers()[1], np.int64)[: b.num_rows + 1] if b.num_rows else np.zeros(1, np.int64)
         i = 0
@@ -114,6 +125,7 @@ def batches(it: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20
             j = min(max(j, i + 1), i + most_rows, b.num_rows)
             yield b.slice(i, j - i)
             i = j
+    give_back()
 
 
 # ---- vectorised words -------------------------------------------------------------------------------------------

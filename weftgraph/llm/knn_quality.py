@@ -165,7 +165,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(it, "text"):
+        for b in common.batches(it, "text", common.STAGE_BYTES):
             got = shared.value.score(features(common.utf8(b.column("text"))))
             yield b.filter(pa.array(got >= threshold))
 
