@@ -39,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens; copies that the mix took have the same doc_id and start."""
-    return ffd_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return ffd_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), most_bytes=1 << 20)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixing), ("packing", packing)]

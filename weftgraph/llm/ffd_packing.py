@@ -66,7 +66,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 4 << 20) -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, deal (the thousand of the task's rows)."""
     common.session(df)
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "deal"))])
@@ -74,7 +74,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         task, row = TaskContext.get().partitionId() << 32, 0
-        for b in common.batches(it, "text"):
+        for b in common.batches(it, "text", most_bytes):
             out: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode_all(common.utf8(b.column("text")).to_pylist()), strict=True):
                 ids += end
@@ -87,10 +87,10 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(cut, PIECES + ", deal long")
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_docs: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces with their sequence_id and offset. Sequence ids are unique; their order has no meaning."""
+def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_docs: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 4 << 20) -> DataFrame:
+    """Pieces with their sequence_id and offset. Sequence ids are unique; their order has no meaning. most_bytes: of texts encoded at once."""
     groups = max(1, math.ceil(df.count() / group_docs))
-    cut = pieces(df, tokenizer, capacity, end_id, id_col, text_col)
+    cut = pieces(df, tokenizer, capacity, end_id, id_col, text_col, most_bytes)
 
     def fill(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="first")
