@@ -2,6 +2,8 @@
 
 Defined cases, for every stage but where it says otherwise: null texts count as empty; repeated rows are rows; ties go by the rows'
 columns, never by their place; an empty table gives an empty one; all columns of the input are kept, whatever their names.
+
+Stages but the first begin by having the executors hand back the memory that the stage before needed.
 """
 
 from __future__ import annotations
@@ -24,21 +26,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays; one without an id only where no copy has one."""
+    common.compact(spark)
     return golomb_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at 0.8 over five-word shingles the one with the smallest id stays; texts without words all stay."""
+    common.compact(spark)
     return circulant_minhash.keep_one(docs, words=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice (two rows with one id). A null source is one of its own."""
+    common.compact(spark)
     return cube_mixing.mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens; copies that the mix took have the same doc_id and start."""
+    common.compact(spark)
     return ffd_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), most_bytes=1 << 20)
 
 

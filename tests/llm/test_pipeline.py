@@ -83,3 +83,12 @@ def test_workers_give_freed_memory_back(monkeypatch):
     assert [b.num_rows for b in common.batches(iter([batch]), "text", 250)] == [2, 2, 2, 2, 1] and given == [1]
     monkeypatch.undo()
     common.give_back()
+
+
+def test_stages_begin_with_the_heap_handed_back(spark, sf, documents):
+    """Garbage of the stage before is collected in the executors' JVMs (here the driver's) before packing starts."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    corpus_pipeline.packing(spark, documents, sf)
+    assert whole() > before

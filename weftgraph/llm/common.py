@@ -83,6 +83,16 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def compact(spark: SparkSession) -> None:
+    """Let every executor's JVM collect its garbage and hand the emptied heap back to the system.
+
+    A JVM keeps a heap that has grown once, so stages that follow each other would each start beside the heap of the largest so far.
+    A task for each slot: free slots are dealt over the executors in turn, so each executor gets one at least.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def join_hot(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int, how: str = "inner", most: int = 2000) -> DataFrame:
     """Rows joined with the one row that classes has of their key; n is the number of rows with that key.
 
