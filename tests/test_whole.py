@@ -111,6 +111,30 @@ def test_races_equal_brute_force(spark):
         assert races_of(spark, access, fork, joined) == races_by_brute_force(access, fork, joined), turn
 
 
+def test_races_in_a_large_tree(spark):
+    """More threads that access memory than one block holds, above 20,000 that do not: rows follow the accesses, not the tree's square."""
+    rng = random.Random(7)
+    fork = [(0, c, rng.randrange(50)) for c in range(1, 1201)]
+    joined = [(0, c, rng.randrange(30, 80)) for c in range(1, 1201) if c % 3]
+    deep = [(c, c + 1, 1) for c in range(1200, 21_200)]
+    access = list({(rng.randrange(1201), rng.choice([None, *range(60)]), rng.randrange(40), rng.random() < 0.3, rng.choice([None, 1, 2])) for _ in range(4000)} | {(0, p, o, True, None) for p in range(60) for o in range(5)})
+    span = {c: (at, min((j for _, d, j in joined if d == c and j > at), default=float("inf"))) for _, c, at in fork}
+    place = lambda a: (a[0], a[1] is not None, a[1] or 0)
+    want = set()
+    for a in access:
+        for b in access:
+            if place(a) <= place(b) and a[0] != b[0] and a[2] == b[2] and (a[3] or b[3]) and (a[4] is None or a[4] != b[4]):
+                lo, hi = span[b[0]]
+                if a[0] == 0:
+                    meet = a[1] is not None and lo < a[1] < hi
+                else:
+                    meet = span[a[0]][0] < hi and lo < span[a[0]][1]
+                if meet:
+                    want.add((*a[:2], *b[:2], a[2]))
+    assert races_of(spark, access, fork + deep, joined) == want and len({t for t, *_ in access}) > 1024
+    assert any(x[0] == 0 for x in want) and any(x[1] is None for x in want)
+
+
 def test_lattice_of_the_whole_table(spark):
     lines = duckdb.sql(f"select l_suppkey, l_returnflag, l_quantity from '{SF}/lineitem.parquet'").fetchall()
     made = {r["supp"]: r for r in registry.QUERIES["interval_lattice"](spark, SF).collect()}
